@@ -134,12 +134,18 @@ def niche_table_two_scenarios(pooled: DataFrame) -> DataFrame:
 
 
 def bin_2d_mean(
-    df: DataFrame, x: str, y: str, z: str, step: float = 0.5, min_n: int = 10
+    df: DataFrame,
+    x: str,
+    y: str,
+    z: str,
+    x_step: float = 0.5,
+    y_step: float = 0.5,
+    min_n: int = 10,
 ) -> DataFrame:
     """Rows with their bin on both axes, the mean of `z` in the bin, its row count and a dense id,
     for bins of more than `min_n` rows. Bins start at the floor of the least value."""
     bins = {}
-    for c, name in ((x, "x_bin"), (y, "y_bin")):
+    for c, name, step in ((x, "x_bin", x_step), (y, "y_bin", y_step)):
         low = df.agg(F.floor(F.min(c))).scalar()
         bins[name] = low + F.floor((F.col(c) - low) / step) * step
     binned = df.withColumns(bins).dropna()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,44 +16,57 @@ def rates(preds: DataFrame) -> DataFrame:
     return ind.growth_rate(ind.lai_change_rate(d)).withColumnRenamed("state", "init_state")
 
 
-def _net(df: DataFrame, var: str, indicator: str, rcps, baseline, sign: int = 1) -> DataFrame:
-    # Means per scenario are taken before the fan-out: a group is one (point, state, model), so
-    # historical rows are aggregated once and only their sums and counts are repeated.
+def _changes(
+    df: DataFrame, signs: Mapping[str, int], rcps: Sequence[str], baseline: Sequence[str]
+) -> DataFrame:
+    """One row per species, scenario and point, one struct of change counts per variable.
+
+    All variables share the scan and the shuffles. Sums and counts are taken before the fan-out,
+    so historical rows are aggregated once and only their few results are repeated."""
     keys = ["species", "rcp", "point_id", "init_state", "scen"]
     is_base = F.col("timestep").isin(*baseline)
-    partial = df.groupBy(*keys).agg(
-        F.sum(F.when(is_base, F.col(var))).alias("s_base"),
-        F.count(F.when(is_base, F.col(var))).alias("n_base"),
-        F.sum(F.when(~is_base, F.col(var))).alias("s_fut"),
-        F.count(F.when(~is_base, F.col(var))).alias("n_fut"),
-        F.count_if(~is_base).alias("later"),
-    )
-    means = (
+    sums = {"later": F.count_if(~is_base)}
+    for v in signs:
+        for side, rows in (("base", is_base), ("fut", ~is_base)):
+            sums[f"{v}_{side}_s"] = F.sum(F.when(rows, F.col(v)))
+            sums[f"{v}_{side}_n"] = F.count(F.when(rows, F.col(v)))
+    partial = df.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
+    groups = (
         ind.scenario_fanout(partial, rcps)
         .groupBy(*keys)
-        .agg(*[F.sum(c).alias(c) for c in ("s_base", "n_base", "s_fut", "n_fut", "later")])
+        .agg(*[F.sum(n).alias(n) for n in sums])
         .where(F.col("later") > 0)
-        .withColumns({
-            "var_base": F.try_divide("s_base", "n_base"),
-            "var_fut": F.try_divide("s_fut", "n_fut"),
-        })
     )
-    return ind.net_change(means, sign=sign).withColumn("indicator", F.lit(indicator)).select(
-        "point_id", "net_negative", "net_positive", "diff", "sum", "net_change", "indicator",
-        "rcp", "species",
+    parts = []
+    for v, sign in signs.items():
+        base, fut = (F.try_divide(f"{v}_{s}_s", f"{v}_{s}_n") for s in ("base", "fut"))
+        diff = F.round((fut - base) * sign, ind.DIFF_PLACES)
+        down, up, n = F.count_if(diff < 0), F.count_if(diff > 0), F.count(F.lit(1))
+        parts.append(
+            F.struct(
+                down.alias("net_negative"), up.alias("net_positive"), F.avg(diff).alias("diff"),
+                n.alias("sum"), ((up - down) / n * 100).alias("net_change"),
+            ).alias(v)
+        )
+    return groups.groupBy("species", "rcp", "point_id").agg(*parts)
+
+
+def _result(changes: DataFrame, var: str, indicator: str) -> DataFrame:
+    return changes.select(
+        "point_id", f"{var}.*", F.lit(indicator).alias("indicator"), "rcp", "species"
     )
 
 
 def lai_net_change(
     preds: DataFrame, rcps: Sequence[str] = ind.RCPS, baseline: Sequence[str] = ind.BASELINE
 ) -> DataFrame:
-    return _net(rates(preds), "lai_diff", "1", rcps, baseline)
+    return _result(_changes(rates(preds), {"lai_diff": 1}, rcps, baseline), "lai_diff", "1")
 
 
 def growth_net_change(
     preds: DataFrame, rcps: Sequence[str] = ind.RCPS, baseline: Sequence[str] = ind.BASELINE
 ) -> DataFrame:
-    return _net(rates(preds), "growth", "2", rcps, baseline)
+    return _result(_changes(rates(preds), {"growth": 1}, rcps, baseline), "growth", "2")
 
 
 def dominance_net_change(
@@ -62,4 +75,20 @@ def dominance_net_change(
     """Losses of dominance count as negative."""
     d = ind.dominance_shift(ind.parse_prediction(ind.expected_transition_time(preds)))
     d = d.withColumnRenamed("state", "init_state")
-    return _net(d, "veg_diff", "1", rcps, baseline, sign=-1)
+    return _result(_changes(d, {"veg_diff": -1}, rcps, baseline), "veg_diff", "1")
+
+
+def csi_from_predictions(
+    preds: DataFrame, rcps: Sequence[str] = ind.RCPS, baseline: Sequence[str] = ind.BASELINE
+) -> DataFrame:
+    """Both components and their mean per species, scenario and point, from one pass over the
+    predictions; equals joining the two result tables."""
+    changes = _changes(rates(preds), {"lai_diff": 1, "growth": 1}, rcps, baseline)
+    return changes.select(
+        "species", "rcp", "point_id",
+        F.col("lai_diff.diff").alias("diff_lai"),
+        F.col("lai_diff.net_change").alias("net_change_lai"),
+        F.col("growth.diff").alias("diff_hei"),
+        F.col("growth.net_change").alias("net_change_hei"),
+        ((F.col("lai_diff.net_change") + F.col("growth.net_change")) / 2).alias("csi"),
+    )

@@ -44,3 +44,28 @@ def write_predictions(
 ) -> DataFrame:
     """Predictions by input and initial state; the dimensions become partition columns."""
     return write_partitioned_dataset(df, path, keys)
+
+
+def write_arrow_files(df: DataFrame, path: str) -> DataFrame:
+    """One Arrow IPC file per partition, written by the tasks as batches arrive; returns file names
+    and row counts. A task that is run again replaces its own file."""
+    location = path if "://" in path else f"file://{path}"
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, folder = fs.FileSystem.from_uri(location)
+        system.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{TaskContext.get().partitionId():05d}.arrow"
+        writer, rows = None, 0
+        with system.open_output_stream(name) as out:
+            for batch in batches:
+                writer = writer or pa.ipc.new_file(out, batch.schema)
+                writer.write_batch(batch)
+                rows += batch.num_rows
+            (writer or pa.ipc.new_file(out, pa.schema([]))).close()
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows])], ["file", "rows"])
+
+    return df.mapInArrow(write, "file string, rows bigint")

@@ -57,10 +57,9 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
 def read_delim_per_key(
     spark: SparkSession, glob: str, key_regex: str, schema: T.StructType, key: str = "species"
 ) -> DataFrame:
-    """Space-delimited files with a header, one per key; the key is cut from the file name."""
+    """Space-delimited files with a header, one per key; the key is cut from the file path."""
     df = spark.read.schema(schema).csv(glob, sep=" ", header=True)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.withColumn(key, F.regexp_extract(name, key_regex, 1))
+    return df.withColumn(key, F.regexp_extract("_metadata.file_path", key_regex, 1))
 
 
 def ingest_arrow_files(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
