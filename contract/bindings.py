@@ -350,7 +350,7 @@ def climate(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "lineitem")
         .select(
             (F.col("l_suppkey") % 20).alias("point_id"),
-            F.year("l_shipdate").alias("year"),
+            F.year("l_shipdate").cast("bigint").alias("year"),
             F.dayofyear("l_shipdate").alias("doy"),
             F.col("l_quantity").alias("tas"),
             F.col("l_extendedprice").alias("prec"),
@@ -369,14 +369,13 @@ def climate(spark: SparkSession, d: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("doy", values))).alias("m")
     )
     calendar = F.sequence(F.lit(1), F.lit(sm.DAYS))
+
+    def value_on(v: str):
+        return lambda i: F.coalesce(F.try_element_at("m", i)[v], F.lit(0.0))
+
     return by_day.select(
         "point_id", "year",
-        *[
-            F.transform(
-                calendar, lambda i, v=v: F.coalesce(F.try_element_at("m", i)[v], F.lit(0.0))
-            ).alias(v)
-            for v in sm.VARIABLES
-        ],
+        *[F.transform(calendar, value_on(v)).alias(v) for v in sm.VARIABLES],
     )
 
 

@@ -72,7 +72,8 @@ def main() -> None:
             else:
                 n, diff = differences(df, con, sql)
         except Exception as e:  # noqa: BLE001
-            n, diff = -1, f"{type(e).__name__}: {str(e)[:1500]}"
+            n, diff = -1, f"{type(e).__name__}: {str(e)[:600]}"
+            con = duck_connection(sf_dir)  # an internal error ends the old one
         bad += bool(diff)
         print(f"{'DIFF' if diff else 'ok':4} {name:32} {n:7} rows {time.time() - start:6.2f} s {diff}",
               flush=True)

@@ -147,14 +147,14 @@ def _(spark, d):
     FROM (SELECT *, avg(csi) OVER (PARTITION BY x_bin, y_bin) AS bin_mean,
                  count(*) OVER (PARTITION BY x_bin, y_bin) AS n,
                  dense_rank() OVER (ORDER BY x_bin, y_bin) AS unique_id
-          FROM (SELECT r.*, lo_x + floor((MAT_avg - lo_x) / 2) * 2 AS x_bin,
-                       lo_y + floor((ANP_avg - lo_y) / 25) * 25 AS y_bin
+          FROM (SELECT r.*, lo_x + floor((MAT_avg - lo_x) / 1) * 1 AS x_bin,
+                       lo_y + floor((ANP_avg - lo_y) / 5) * 5 AS y_bin
                 FROM {n_rows} r,
                      (SELECT floor(min(MAT_avg)) AS lo_x, floor(min(ANP_avg)) AS lo_y
                       FROM {n_rows}) m) b) c
     WHERE n > 10""")
 def _(spark, d):
-    x = nc.bin_2d_mean(rows(spark, d), "MAT_avg", "ANP_avg", "csi", 2.0, 25.0)
+    x = nc.bin_2d_mean(rows(spark, d), "MAT_avg", "ANP_avg", "csi", 1.0, 5.0)
     return r6(x.select("species", "point_id", "rcp", "edge", "csi", "x_bin", "y_bin", "bin_mean",
                        "n", "unique_id"), "csi", "bin_mean")
 

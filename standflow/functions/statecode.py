@@ -56,26 +56,34 @@ def shares(specs: Column) -> Column:
 
 
 def species_shares(comp: Column | str) -> Column:
-    """ARRAY<STRUCT<species, prop>> of a composition."""
+    """ARRAY<STRUCT<species, prop>> of a composition. A species written in both cases takes part
+    in the rule twice and has the sum of its shares."""
     specs = F.array_distinct(tokens(comp))
-    return F.transform(
+    parts = F.transform(
         F.arrays_zip(specs.alias("s"), shares(specs).alias("p")),
         lambda x: F.struct(F.lower(x["s"]).alias("species"), x["p"].alias("prop")),
     )
+    return F.transform(
+        F.array_distinct(F.transform(specs, F.lower)),
+        lambda s: F.struct(s.alias("species"), share_of(parts, s).alias("prop")),
+    )
+
+
+def share_of(parts: Column, species: Column) -> Column:
+    """Summed share of one species in ARRAY<STRUCT<species, prop>>."""
+    return F.aggregate(
+        F.filter(parts, lambda y: y["species"] == species),
+        F.lit(0.0),
+        lambda acc, y: acc + y["prop"],
+    )
 
 
 def share_overlap(a: Column, b: Column) -> Column:
     """Sum over species of the smaller share. Shares sum to one on both sides, so this equals
     one minus half the summed absolute differences."""
-
-    def in_b(x: Column) -> Column:
-        return F.aggregate(
-            F.filter(b, lambda y: y["species"] == x["species"]),
-            F.lit(0.0),
-            lambda acc, y: acc + y["prop"],
-        )
-
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.least(x["prop"], in_b(x)))
+    return F.aggregate(
+        a, F.lit(0.0), lambda acc, x: acc + F.least(x["prop"], share_of(b, x["species"]))
+    )
 
 
 def similarity(

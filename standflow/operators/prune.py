@@ -114,7 +114,7 @@ def species_proportions(states: DataFrame, state: str = "state") -> DataFrame:
 
 def species_matrix(props: DataFrame, species: Sequence[str], state: str = "state") -> DataFrame:
     """One row per state and one column per species, absent species 0, and the row sum."""
-    wide = props.groupBy(state).pivot("species", list(species)).agg(F.first("prop")).fillna(0.0)
+    wide = props.groupBy(state).pivot("species", list(species)).agg(F.sum("prop")).fillna(0.0)
     return wide.withColumn("row_sum", reduce(lambda a, b: a + b, [F.col(s) for s in species]))
 
 
