@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from standflow.functions.scans import blocked_row_number
 from standflow.operators import samples as sm
 from standflow.plans import extraction
+from standflow.session import materialise
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -326,9 +327,9 @@ def state40_column(k):
 
 
 def examples(spark: SparkSession, d: str) -> DataFrame:
-    """Extracted examples, without the raw event type."""
+    """Extracted examples, written as a table: the stages after extraction start from it."""
     tl = timeline(spark, d).drop("raw_state")
-    return extraction.extract_examples(tl, UNIT, "Year", "svd_state")
+    return materialise(extraction.extract_examples(tl, UNIT, "Year", "svd_state"), "examples")
 
 
 def enriched_examples(spark: SparkSession, d: str) -> DataFrame:

@@ -94,7 +94,7 @@ def _(spark, d):
 
 @query("extract_examples", "SELECT * FROM {t_examples}")
 def _(spark, d):
-    return examples(spark, d)
+    return extraction.extract_examples(_tl(spark, d), *ARGS)
 
 
 @query("augmentation_candidates", """
@@ -144,7 +144,7 @@ def _(spark, d):
 def transition_counts(spark, d):
     """Examples by state and target: the smallest whole path through the library."""
     return (
-        examples(spark, d)
+        extraction.extract_examples(_tl(spark, d), *ARGS)
         .groupBy("svd_state", "target_state")
         .agg(
             F.count(F.lit(1)).alias("n"),

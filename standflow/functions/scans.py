@@ -35,16 +35,20 @@ def carry(
     keys: Sequence[str],
     summary: Mapping[str, Column],
     carried: Mapping[str, Callable[[WindowSpec], Column]],
+    then: Mapping[str, Callable[[WindowSpec], Column]] | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
     """Summarise each (keys, block), scan the summaries in block order and join the result back.
 
-    `summary` names aggregates over one block, `carried` names window expressions over them.
-    `null_safe` lets the keys be null; without it the join keeps the plain partitioning."""
-    blocks = df.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in summary.items()])
+    `summary` names aggregates over one block, `carried` window expressions over them and `then`
+    window expressions over those. `null_safe` lets the keys be null; without it the join keeps
+    the plain partitioning."""
     order = Window.partitionBy(*keys).orderBy(BLOCK)
     on = [*keys, BLOCK]
+    blocks = df.groupBy(*on).agg(*[c.alias(n) for n, c in summary.items()])
     scanned = blocks.select(*on, *[make(order).alias(n) for n, make in carried.items()])
+    if then:
+        scanned = scanned.select("*", *[make(order).alias(n) for n, make in then.items()])
     return null_safe_join(df, scanned, on) if null_safe else df.join(scanned, on)
 
 

@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SOIL = ("WHC", "TextureSand", "SoilDepth", "AvailableNitrogen")
@@ -144,9 +144,10 @@ def _descend(lost: DataFrame, g: DataFrame, keys: Sequence[str]) -> DataFrame:
         ) + F.greatest(
             F.abs(F.col("__lat") - F.col("y_lo")), F.abs(F.col("__lat") - F.col("y_hi"))
         )
-        step = step.withColumn("__low", low).withColumn("__high", high)
-        best = step.groupBy(*keys).agg(F.min("__high").alias("__best"))
-        state = step.join(best, list(keys)).where(F.col("__low") <= F.col("__best")).select(
+        # a point has few bins left, and a window keeps each level from being computed twice
+        best = F.min(high).over(Window.partitionBy(*keys))
+        step = step.withColumn("__low", low).withColumn("__best", best)
+        state = step.where(F.col("__low") <= F.col("__best")).select(
             *keys, "__lon", "__lat", F.col("__cx").alias("__bx"), F.col("__cy").alias("__by")
         )
     cells = at.select(

@@ -33,23 +33,15 @@ def _in_block(unit: Sequence[str], order: str):
 def with_previous(
     df: DataFrame, unit: Sequence[str], order: str, state: str, block_years: int = BLOCK_YEARS
 ) -> DataFrame:
-    """Row position, timeline length and the state of the row before."""
+    """State of the row before, across block borders; null in the first row."""
     w = _in_block(unit, order)
     d = carry(
         df.withColumn(BLOCK, F.floor(F.col(order) / block_years)),
         unit,
-        {"__rows": F.count(F.lit(1)), "__tail": F.max_by(state, order)},
-        {
-            "__before": lambda b: F.coalesce(F.sum("__rows").over(preceding(b)), F.lit(0)),
-            _TOTAL: lambda b: F.sum("__rows").over(whole(b)),
-            "__prev_tail": lambda b: F.lag("__tail").over(b),
-        },
-    )
-    return (
-        d.withColumn(_POS, F.col("__before") + F.row_number().over(w))
-        .withColumn(_PREV, F.coalesce(F.lag(state).over(w), "__prev_tail"))
-        .drop("__before", "__prev_tail")
+        {"__tail": F.max_by(state, order)},
+        {"__prev_tail": lambda b: F.lag("__tail").over(b)},
     )
+    return d.withColumn(_PREV, F.coalesce(F.lag(state).over(w), "__prev_tail")).drop("__prev_tail")
 
 
 def with_changes(
@@ -60,28 +52,81 @@ def with_changes(
     horizon: int = HORIZON,
     block_years: int = BLOCK_YEARS,
 ) -> DataFrame:
-    """`with_previous` plus the position of the last change up to each row and position and state
-    of the next change after it."""
-    d = with_previous(df, unit, order, state, block_years)
-    change = F.when(F.col(state) != F.col(_PREV), F.struct(F.col(_POS), F.col(state)))
+    """Row position, timeline length, state of the row before, position of the last change up to
+    each row, and position and state of the next change after it.
+
+    Changes inside a block are found there. Whether its first row is one too depends on the last
+    state of the block before, so that is settled among the block summaries."""
+    w = _in_block(unit, order)
+    up_to_here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = w.rowsBetween(1, horizon - 1)
+    d = df.withColumn(BLOCK, F.floor(F.col(order) / block_years)).withColumns({
+        "__i": F.row_number().over(w), "__lag": F.lag(state).over(w),
+    })
+    change = F.when(F.col(state) != F.col("__lag"), F.struct(F.col("__i"), F.col(state)))
+    d = d.withColumn("__change", change)
+
+    rows_before = lambda b: F.coalesce(F.sum("__rows").over(preceding(b)), F.lit(0))
+    tail = lambda b: F.lag("__tail").over(b)
+
+    def global_change(inner: str, head_first: bool):
+        """First or last change of a block as (position, state), its first row included."""
+
+        def make(b):
+            at = F.when(
+                F.col(inner).isNotNull(),
+                F.struct((rows_before(b) + F.col(inner)["__i"]).alias(_POS), F.col(inner)[state]),
+            )
+            head = F.when(
+                F.col("__head") != tail(b),
+                F.struct((rows_before(b) + 1).alias(_POS), F.col("__head").alias(state)),
+            )
+            return F.coalesce(head, at) if head_first else F.coalesce(at, head)
+
+        return make
+
     d = carry(
-        d.withColumn("__change", change),
+        d,
         unit,
-        {"__first": F.min("__change"), "__last": F.max("__change")},
         {
-            "__last_before": lambda b: F.max("__last").over(preceding(b)),
-            "__first_after": lambda b: F.min("__first").over(following(b)),
+            "__rows": F.count(F.lit(1)),
+            "__head": F.min_by(state, order),
+            "__tail": F.max_by(state, order),
+            "__first": F.min("__change"),
+            "__last": F.max("__change"),
+        },
+        {
+            "__before": rows_before,
+            _TOTAL: lambda b: F.sum("__rows").over(whole(b)),
+            "__prev_tail": tail,
+            "__g_first": global_change("__first", True),
+            "__g_last": global_change("__last", False),
+        },
+        then={
+            "__last_before": lambda b: F.max("__g_last").over(preceding(b)),
+            "__first_after": lambda b: F.min("__g_first").over(following(b)),
         },
     )
-    w = _in_block(unit, order)
-    up_to_here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(1, horizon - 1)
+    shifted = lambda c: F.when(
+        c.isNotNull(), F.struct((F.col("__before") + c["__i"]).alias(_POS), c[state])
+    )
+    head = F.when(
+        (F.col("__i") >= 1) & (F.col("__prev_tail") != F.first(state).over(w)),
+        F.col("__before") + 1,
+    )
     return (
-        d.withColumn(
-            _LAST, F.coalesce(F.max("__change").over(up_to_here), "__last_before")[_POS]
-        )
-        .withColumn(_NEXT, F.coalesce(F.min("__change").over(ahead), "__first_after"))
-        .drop("__change", "__last_before", "__first_after")
+        d.withColumns({
+            _POS: F.col("__before") + F.col("__i"),
+            _PREV: F.coalesce("__lag", "__prev_tail"),
+            _LAST: F.coalesce(
+                F.col("__before") + F.max("__change").over(up_to_here)["__i"],
+                head,
+                F.col("__last_before")[_POS],
+            ),
+            _NEXT: F.coalesce(shifted(F.min("__change").over(ahead)), "__first_after"),
+        })
+        .drop("__i", "__lag", "__change", "__before", "__prev_tail", "__g_first", "__g_last",
+              "__last_before", "__first_after")
     )
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import statecode as sc
 from ..functions.hashing import digest, hash_int
 from ..functions.joins import null_safe_join
 from ..functions.scans import blocked_row_number
-from ..session import cut_lineage
+from ..session import materialise
 from .enrich import all_in
 from .examples import MISSING
 
@@ -168,14 +168,14 @@ def rare_state_filter(
     min_count: int = MIN_COUNT,
 ) -> DataFrame:
     """Rows whose states occur more than `min_count` times in each column, counted on the input.
-    Counting and joining keeps a frequent state from filling one window task."""
-    out = df
-    for c in cols:
-        frequent = df.groupBy(c).agg(F.count(F.lit(1)).alias(f"count_{c}")).where(
-            F.col(f"count_{c}") > min_count
-        )
-        out = out.join(frequent, [c])
-    return out.select(*df.columns, *[f"count_{c}" for c in cols])
+    Rows are counted per combination; the totals per state are taken among the combinations, and
+    the rows meet the surviving ones in one join."""
+    combos = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
+    totals = {f"count_{c}": F.sum("__n").over(Window.partitionBy(c)) for c in cols}
+    frequent = combos.withColumns(totals).drop("__n")
+    for name in totals:
+        frequent = frequent.where(F.col(name) > min_count)
+    return df.join(frequent, list(cols)).select(*df.columns, *totals)
 
 
 def closed_state_set(
@@ -189,16 +189,16 @@ def closed_state_set(
     first round only).
 
     The loop runs over distinct state combinations and only shrinks, so it ends; each round is
-    checkpointed. The rows themselves are filtered once, at the end."""
+    written out. The rows themselves are filtered once, at the end."""
     own = state_cols[0]
     spark = df.sparkSession
     sentinel = spark.range(1).select(F.lit(missing).alias(own))
-    combos = cut_lineage(df.select(*state_cols).distinct())
+    combos = materialise(df.select(*state_cols).distinct())
     states = combos.select(own).distinct().unionByName(sentinel).distinct()
     size = None
     while True:
         used = states
-        kept = cut_lineage(all_in(combos, state_cols, used, own))
+        kept = materialise(all_in(combos, state_cols, used, own))
         n_kept = kept.count()
         if n_kept == size:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import enrich, prune
+from ..session import materialise
 
 
 def prune_examples(
@@ -13,8 +14,9 @@ def prune_examples(
     min_count: int = prune.MIN_COUNT,
     keep_missing: bool = True,
 ) -> DataFrame:
-    """Plausible transitions between frequent states with a closed history; yearly sources only."""
+    """Plausible transitions between frequent states with a closed history; yearly sources only.
+    What passes the first two filters is written out, as the last one reads it several times."""
     near = prune.transition_distance_filter(df, max_dist)
-    frequent = prune.rare_state_filter(near, min_count=min_count)
+    frequent = materialise(prune.rare_state_filter(near, min_count=min_count), "frequent")
     closed = prune.closed_state_set(frequent, keep_missing=keep_missing)
     return enrich.exclude_ids(closed).select(*df.columns, "dist")
