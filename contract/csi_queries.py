@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from standflow.operators import competition as cp
 from standflow.plans import change
+from standflow.session import materialise
 
 from .bindings import query, r6, shared
 
@@ -12,7 +13,8 @@ _LABEL = """CASE rcp WHEN 'rcp_2_6' THEN 'RCP2.6' WHEN 'rcp_4_5' THEN 'RCP4.5' E
 
 
 def csi(spark, d):
-    return change.csi_from_predictions(shared(spark, d, "b_predictions"))
+    """The result table between the scripts of the study: written once, then summarised."""
+    return materialise(change.csi_from_predictions(shared(spark, d, "b_predictions")), "csi")
 
 
 def labelled(spark, d):
@@ -43,7 +45,8 @@ def _(spark, d):
            round(net_change_lai, 6) AS net_change_lai, round(diff_hei, 6) AS diff_hei,
            round(net_change_hei, 6) AS net_change_hei, round(csi, 6) AS csi FROM {g_csi}""")
 def _(spark, d):
-    return r6(csi(spark, d), "diff_lai", "net_change_lai", "diff_hei", "net_change_hei", "csi")
+    out = change.csi_from_predictions(shared(spark, d, "b_predictions"))
+    return r6(out, "diff_lai", "net_change_lai", "diff_hei", "net_change_hei", "csi")
 
 
 @query("relabel", f"SELECT {_LABEL}, point_id, round(csi, 6) AS csi FROM {{g_csi}}")

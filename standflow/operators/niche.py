@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scans import BLOCK, blocked_row_number, carry, preceding, whole
 from ..functions.stats import mean_ci, species_group, with_interval
+from ..session import materialise
 
 CENTER = "center"
 RCPS = ("rcp_2_6", "rcp_4_5", "rcp_8_5")
@@ -49,13 +50,14 @@ def edge_group_ci(df: DataFrame) -> DataFrame:
 
 
 def diff_to_center(df: DataFrame, center: str = CENTER) -> DataFrame:
-    """Each edge minus the center of its group and scenario, with the two axes of the edge."""
-    core = df.where(F.col("edge") == center).select(
-        "sp_group", "rcp", F.col("mean_csi").alias("center_csi")
+    """Each edge minus the center of its group and scenario, with the two axes of the edge. The
+    input has one row per edge, so the center comes from a small window, not a second scan."""
+    core = F.max(F.when(F.col("edge") == center, F.col("mean_csi"))).over(
+        Window.partitionBy("sp_group", "rcp")
     )
     return (
-        df.where(F.col("edge") != center)
-        .join(core, ["sp_group", "rcp"], "left")
+        df.withColumn("center_csi", core)
+        .where(F.col("edge") != center)
         .select(
             "edge", "sp_group", "rcp",
             F.when(F.col("edge").contains("warm"), "warm").otherwise("cold").alias("x"),
@@ -144,18 +146,21 @@ def bin_2d_mean(
 ) -> DataFrame:
     """Rows with their bin on both axes, the mean of `z` in the bin, its row count and a dense id,
     for bins of more than `min_n` rows. Bins start at the floor of the least value."""
-    bins = {}
-    for c, name, step in ((x, "x_bin", x_step), (y, "y_bin", y_step)):
-        low = df.agg(F.floor(F.min(c))).scalar()
-        bins[name] = low + F.floor((F.col(c) - low) / step) * step
-    binned = df.withColumns(bins).dropna()
-    # the id counts every bin, also those dropped for their size
-    table = blocked_row_number(
+    low = df.agg(
+        F.struct(F.floor(F.min(x)).alias("x"), F.floor(F.min(y)).alias("y"))
+    ).scalar()
+    binned = df.withColumns({
+        "x_bin": low["x"] + F.floor((F.col(x) - low["x"]) / x_step) * x_step,
+        "y_bin": low["y"] + F.floor((F.col(y) - low["y"]) / y_step) * y_step,
+    }).dropna()
+    table = materialise(
         binned.groupBy("x_bin", "y_bin").agg(
             F.avg(z).alias("bin_mean"), F.count(F.lit(1)).alias("n")
         ),
-        [], F.col("x_bin"), ["x_bin", "y_bin"], "unique_id",
+        "bins",
     )
+    # the id counts every bin, also those dropped for their size
+    table = blocked_row_number(table, [], F.col("x_bin"), ["x_bin", "y_bin"], "unique_id")
     return binned.join(table.where(F.col("n") > min_n), ["x_bin", "y_bin"])
 
 
@@ -190,10 +195,13 @@ def box_summary(
     block_width: float = 1.0,
 ) -> DataFrame:
     """Exact quartiles (linear interpolation) and whisker ends (last value within 1.5 quartile
-    ranges), per key. Values are counted first and ranked in blocks of `block_width`, so that no
+    ranges), per key. Values are counted first; the counts are written, as they are read several
+    times, and ranked in blocks of `block_width`, so that no
     group is sorted in one task. `weight` counts a row that many times."""
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n"))
+    counts = materialise(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n")), "counts"
+    )
     d = carry(
         counts.withColumn(BLOCK, F.floor(F.col(value) / block_width)),
         keys,

@@ -21,22 +21,26 @@ def _changes(
 ) -> DataFrame:
     """One row per species, scenario and point, one struct of change counts per variable.
 
-    All variables share the scan and the shuffles. Sums and counts are taken before the fan-out,
-    so historical rows are aggregated once and only their few results are repeated."""
-    keys = ["species", "rcp", "point_id", "init_state", "scen"]
+    All variables and scenarios share one scan and one shuffle: sums and counts per scenario are
+    conditional aggregates of a (point, initial state, climate model) group, so historical rows
+    are not copied for each scenario."""
     is_base = F.col("timestep").isin(*baseline)
-    sums = {"later": F.count_if(~is_base)}
-    for v in signs:
-        for side, rows in (("base", is_base), ("fut", ~is_base)):
-            sums[f"{v}_{side}_s"] = F.sum(F.when(rows, F.col(v)))
-            sums[f"{v}_{side}_n"] = F.count(F.when(rows, F.col(v)))
-    partial = df.groupBy(*keys).agg(*[c.alias(n) for n, c in sums.items()])
-    groups = (
-        ind.scenario_fanout(partial, rcps)
-        .groupBy(*keys)
-        .agg(*[F.sum(n).alias(n) for n in sums])
-        .where(F.col("later") > 0)
+    sums = {}
+    for r in rcps:
+        own = F.col("rcp").isin(r, ind.HISTORICAL)
+        sums[f"{r}_later"] = F.count_if(own & ~is_base)
+        for v in signs:
+            for side, rows in (("base", own & is_base), ("fut", own & ~is_base)):
+                sums[f"{r}_{v}_{side}_s"] = F.sum(F.when(rows, F.col(v)))
+                sums[f"{r}_{v}_{side}_n"] = F.count(F.when(rows, F.col(v)))
+    wide = df.groupBy("species", "point_id", "init_state", "scen").agg(
+        *[c.alias(n) for n, c in sums.items()]
     )
+    names = ["later", *[f"{v}_{s}_{k}" for v in signs for s in ("base", "fut") for k in "sn"]]
+    per_rcp = F.array(*[
+        F.struct(F.lit(r).alias("rcp"), *[F.col(f"{r}_{n}").alias(n) for n in names]) for r in rcps
+    ])
+    groups = wide.select("species", "point_id", F.inline(per_rcp)).where(F.col("later") > 0)
     parts = []
     for v, sign in signs.items():
         base, fut = (F.try_divide(f"{v}_{s}_s", f"{v}_{s}_n") for s in ("base", "fut"))

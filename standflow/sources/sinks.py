@@ -26,11 +26,10 @@ def write_csv_result(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_partitioned_dataset(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """One folder per key combination; only folders that get new rows are replaced. Rows of one
-    combination are spread over tasks by a hash, so a large one is not written by a single task."""
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(8))
+    """One folder per key combination; only folders that get new rows are replaced. Rows are
+    rebalanced by key: small combinations share a task, adaptive execution splits a large one."""
     (
-        df.repartition(*keys, spread)
+        df.hint("rebalance", *[F.col(k) for k in keys])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)
