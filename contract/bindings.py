@@ -301,10 +301,10 @@ def shared(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Years are positions in the event order, numbered in blocks of one day."""
+    """Years are positions in the event order, numbered in blocks of one hour."""
     e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
     numbered = blocked_row_number(
-        e, ["user_id"], F.to_date("ts"), ["ts", "event_id"], "__n"
+        e, ["user_id"], F.date_trunc("hour", "ts"), ["ts", "event_id"], "__n"
     ).withColumn("Year", F.col("__n") + 1950)
     k = (
         F.floor((F.col("Year") - 1951) / (3 + F.col("user_id") % 23)) + F.col("user_id")

@@ -70,9 +70,9 @@ def _(spark, d):
 def _(spark, d):
     part = ["species", "timestep", "scen"]
     order = ["point_id", "l_orderkey", "l_linenumber"]
-    tagged = ind.row_ids_and_tags(
-        preds(spark, d), part, order, F.col("point_id"), {"run": F.lit("run1")}
-    )
+    # a point with very many rows is cut further, along the order
+    block = F.struct("point_id", F.floor(F.col("l_orderkey") / 10_000))
+    tagged = ind.row_ids_and_tags(preds(spark, d), part, order, block, {"run": F.lit("run1")})
     return tagged.select(*part, *order, "run", "id")
 
 

@@ -110,10 +110,7 @@ def with_changes(
     shifted = lambda c: F.when(
         c.isNotNull(), F.struct((F.col("__before") + c["__i"]).alias(_POS), c[state])
     )
-    head = F.when(
-        (F.col("__i") >= 1) & (F.col("__prev_tail") != F.first(state).over(w)),
-        F.col("__before") + 1,
-    )
+    head = F.when(F.col("__prev_tail") != F.first(state).over(w), F.col("__before") + 1)
     return (
         d.withColumns({
             _POS: F.col("__before") + F.col("__i"),

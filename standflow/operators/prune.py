@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import statecode as sc
 from ..functions.hashing import digest, hash_int
 from ..functions.joins import null_safe_join
-from ..functions.scans import blocked_row_number
+from ..functions.scans import BLOCK, blocked_row_number, carry, preceding
 from ..session import materialise
 from .enrich import all_in
 from .examples import MISSING
@@ -23,6 +23,9 @@ GROUP_CAP = 100_000
 MAX_DISTANCE = 0.9
 MIN_COUNT = 10
 
+# Pieces the positions of a cell are cut into, to look up draws by equality.
+RANGE_PIECES = 4096
+
 
 def coverage_subsample(
     df: DataFrame, group: Sequence[str], state: str, cap: int = GROUP_CAP, seed: int = 1
@@ -30,38 +33,60 @@ def coverage_subsample(
     """Groups above `cap` rows are replaced by ceil(cap / #states) draws per state, with
     replacement, then made distinct; other groups pass unchanged.
 
-    Draws are hashes of (group, state, draw number). Rows are numbered in the order of their own
-    digest, in blocks of equal digest prefix, so that no group is sorted in one task."""
-    cells = df.groupBy(*group, state).agg(F.count(F.lit(1)).alias("__n"))
+    Draws are hashes of (group, state, draw number) and name a position among the rows of their
+    cell, ordered by row digest. Equal rows are counted first and fill a range of positions, so
+    neither a large cell nor a mass of copies meets in one task."""
+    keys = [*group, state]
+    cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     groups = cells.groupBy(*group).agg(
         F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__states")
     )
     large = groups.where(F.col("__rows") > cap)
-
     small = null_safe_join(df, large, group, "left_anti")
 
-    keys = [*group, state]
-    of_large = null_safe_join(df, large, group, "left_semi")
-    numbered = blocked_row_number(
-        of_large.withColumn("__digest", digest(*df.columns, seed=seed)),
-        keys,
-        F.substring("__digest", 1, 3),
-        ["__digest"],
-        "__row",
-        null_safe=True,
-    )
     sized = null_safe_join(cells, large, group).select(
-        *keys, "__n", F.ceil(F.lit(cap) / F.col("__states")).alias("__draws")
+        *keys, "__n", F.ceil(F.lit(cap) / F.col("__states")).alias("__draws"),
+        F.ceil(F.col("__n") / RANGE_PIECES).alias("__width"),
+    )
+    rows = (
+        null_safe_join(df, sized.drop("__n", "__draws"), keys)
+        .groupBy(*df.columns, "__width")
+        .agg(F.count(F.lit(1)).alias("__copies"))
+        .withColumn("__digest", digest(*df.columns, seed=seed))
+    )
+    ranged = _position_ranges(rows, keys)
+    # a draw and a range meet in pieces of equal width, then the range decides
+    last = F.floor((F.col("__start") + F.col("__copies") - 1) / F.col("__width"))
+    pieces = ranged.withColumn(
+        "__piece", F.explode(F.sequence(F.floor(F.col("__start") / F.col("__width")), last))
     )
     draws = sized.select(
-        *keys, "__n", F.explode(F.sequence(F.lit(1), F.col("__draws").cast("int"))).alias("__i")
+        *keys, "__n", "__width",
+        F.explode(F.sequence(F.lit(1), F.col("__draws").cast("int"))).alias("__i"),
+    )
+    picked = (
+        draws.withColumn("__at", F.pmod(hash_int(*keys, "__i", seed=seed), F.col("__n")))
+        .select(*keys, "__at", F.floor(F.col("__at") / F.col("__width")).alias("__piece"))
+        .distinct()
+    )
+    hit = null_safe_join(pieces, picked, [*keys, "__piece"]).where(
+        (F.col("__at") >= F.col("__start")) & (F.col("__at") < F.col("__start") + F.col("__copies"))
+    )
+    return small.select(*df.columns).unionByName(hit.select(*df.columns).distinct())
+
+
+def _position_ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`__start`: how many rows (copies counted) of the same cell have a smaller digest."""
+    within = Window.partitionBy(*keys, BLOCK).orderBy("__digest")
+    return carry(
+        rows.withColumn(BLOCK, F.substring("__digest", 1, 3)),
+        keys,
+        {"__rows": F.sum("__copies")},
+        {"__before": lambda w: F.coalesce(F.sum("__rows").over(preceding(w)), F.lit(0))},
+        null_safe=True,
+    ).withColumn(
+        "__start", F.col("__before") + F.sum("__copies").over(within) - F.col("__copies")
     )
-    picked = draws.select(
-        *keys, (F.pmod(hash_int(*keys, "__i", seed=seed), F.col("__n")) + 1).alias("__row")
-    ).distinct()
-    sampled = null_safe_join(numbered, picked, [*keys, "__row"], "left_semi")
-    sampled = sampled.select(*df.columns).distinct()
-    return small.select(*df.columns).unionByName(sampled)
 
 
 def distinct_states(dfs: Sequence[DataFrame], cols: Sequence[str], name: str = "state"):

@@ -21,8 +21,11 @@ def _wide(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], s
     window, the running number and the reshaping are one aggregation over the few rows of a key."""
     gathered = (
         df.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(order, *cols))).alias("__years"))
-        .where(F.size("__years") == span)
+        .agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.sort_array(F.collect_set(F.struct(order, *cols))).alias("__years"),
+        )
+        .where((F.col("__n") == span) & (F.size("__years") == span))
     )
     return gathered.select(
         *keys,
@@ -43,16 +46,18 @@ def build_training_samples(
 
     `sims` holds one row per simulation year with daily arrays, or the features already when no
     model is given. Features are computed once per simulation year, before examples that share
-    years repeat them."""
+    years repeat them. Equal examples are assembled once and repeated at the end."""
     features = list(features or sm.feature_names())
     yearly = sm.drop_unused_columns(sims)
     if load_model is not None:
         yearly = sm.climate_features(yearly, load_model, dtype)
     yearly = yearly.select(*keys, "Year", *features)
     static = [c for c in examples.columns if c != "Year"]
-    rows = sm.attach_years(examples, yearly, keys, span=span).dropna()
-    wide = _wide(rows, [*static, "example_year"], "Year", features, span)
-    return wide.withColumnRenamed("example_year", "Year")
+    counted = examples.dropna().groupBy(*examples.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    rows = sm.attach_years(counted, yearly.dropna(), keys, span=span)
+    wide = _wide(rows, [*static, "example_year", "__copies"], "Year", features, span)
+    repeated = wide.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies")))
+    return repeated.drop("__copies", "__copy").withColumnRenamed("example_year", "Year")
 
 
 def prepare_prediction_input(

@@ -128,6 +128,8 @@ def test_incomplete_windows_are_dropped(spark):
         years, "scenario string, uniqueID int, simulationID int, Year int, MAT double")
     wide = assembly.build_training_samples(ex, sims, features=["MAT"]).collect()
     assert [r.svd_state for r in wide] == ["A"]
+    twice = assembly.build_training_samples(ex.unionByName(ex), sims, features=["MAT"]).collect()
+    assert [r.svd_state for r in twice] == ["A", "A"]
     assert [wide[0][f"MAT_{s}"] for s in range(1, 11)] == [float(y) for y in range(10)]
     rows = sm.attach_years(ex, sims)
     kept = sm.complete_windows(rows, ["scenario", "uniqueID", "simulationID", "example_year"])

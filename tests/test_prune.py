@@ -117,6 +117,16 @@ def test_subsample_keeps_every_state_and_small_groups(spark):
     assert 25 <= sum(r[0] is None for r in one) <= 50
 
 
+def test_subsample_of_copies(spark):
+    """One row that makes up most of a cell is drawn once and does not crowd out its state."""
+    rows = [(1, "A", 0)] * 900 + [(1, "A", i) for i in range(1, 40)] + [(1, "B", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, state string, v int")
+    got = [tuple(r) for r in pr.coverage_subsample(df, ["g"], "state", 200, seed=3).collect()]
+    assert len(got) == len(set(got)) and set(got) <= set(rows)
+    assert (1, "A", 0) in got
+    assert 30 < sum(r[1] == "B" for r in got) <= 60 and 1 <= sum(r[1] == "A" for r in got) < 25
+
+
 def test_pruned_set_has_no_orphans(spark):
     rows = []
     for i in range(600):
