@@ -45,6 +45,10 @@ def carry(
     the plain partitioning."""
     order = Window.partitionBy(*keys).orderBy(BLOCK)
     on = [*keys, BLOCK]
+    if not null_safe:
+        # the join would filter one of its sides only, and the two could not share a shuffle
+        for k in on:
+            df = df.where(F.col(k).isNotNull())
     blocks = df.groupBy(*on).agg(*[c.alias(n) for n, c in summary.items()])
     scanned = blocks.select(*on, *[make(order).alias(n) for n, make in carried.items()])
     if then:

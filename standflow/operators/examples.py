@@ -30,13 +30,20 @@ def _in_block(unit: Sequence[str], order: str):
     return Window.partitionBy(*unit, BLOCK).orderBy(order)
 
 
+def _with_block(df: DataFrame, order: str, block_years: int) -> DataFrame:
+    """Adds the block, unless an earlier step has left it: then its partitioning is used again."""
+    if BLOCK in df.columns:
+        return df
+    return df.withColumn(BLOCK, F.floor(F.col(order) / block_years))
+
+
 def with_previous(
     df: DataFrame, unit: Sequence[str], order: str, state: str, block_years: int = BLOCK_YEARS
 ) -> DataFrame:
     """State of the row before, across block borders; null in the first row."""
     w = _in_block(unit, order)
     d = carry(
-        df.withColumn(BLOCK, F.floor(F.col(order) / block_years)),
+        _with_block(df, order, block_years),
         unit,
         {"__tail": F.max_by(state, order)},
         {"__prev_tail": lambda b: F.lag("__tail").over(b)},
@@ -60,7 +67,7 @@ def with_changes(
     w = _in_block(unit, order)
     up_to_here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = w.rowsBetween(1, horizon - 1)
-    d = df.withColumn(BLOCK, F.floor(F.col(order) / block_years)).withColumns({
+    d = _with_block(df, order, block_years).withColumns({
         "__i": F.row_number().over(w), "__lag": F.lag(state).over(w),
     })
     change = F.when(F.col(state) != F.col("__lag"), F.struct(F.col("__i"), F.col(state)))
@@ -222,7 +229,7 @@ def example_history(
         )
 
     d = carry(
-        df.withColumn(BLOCK, F.floor(F.col(order) / block_years)),
+        _with_block(df, order, block_years),
         unit,
         {"__latest": latest.cast("array<struct<t:bigint,s:string,r:int>>")},
         {"__before": before},
@@ -270,11 +277,13 @@ def flagged_examples(
     horizon: int = HORIZON,
     quiet: int = QUIET_YEARS,
     block_years: int = BLOCK_YEARS,
+    keep_block: bool = False,
 ) -> DataFrame:
     """All columns of an example except its history, for the rows that are kept."""
     d = with_changes(df, unit, order, state, horizon, block_years)
     d = d.select(
         *df.columns,
+        *([BLOCK] if keep_block else []),
         F.coalesce(_PREV, state).alias("previous_year_state"),
         _residence().alias("residence_time"),
         _target_state(state, horizon).alias("target_state"),

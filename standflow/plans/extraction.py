@@ -19,7 +19,9 @@ def extract_examples(
     block_years: int = ex.BLOCK_YEARS,
 ) -> DataFrame:
     """Examples of all timelines, with history. Timelines without examples yield no rows."""
-    kept = ex.flagged_examples(df, unit, order, state, horizon, block_years=block_years)
+    kept = ex.flagged_examples(
+        df, unit, order, state, horizon, block_years=block_years, keep_block=True
+    )
     return ex.example_history(kept, unit, order, state, n=n_hist, block_years=block_years)
 
 
