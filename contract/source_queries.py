@@ -64,7 +64,8 @@ def _(spark, d):
     ), "MAT_avg")
 
 
-@query("ingest_arrow_files")
+@query("ingest_arrow_files", """
+    SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem""")
 def _(spark, d):
     path = scratch_path(spark, "arrow")
     df = table(spark, d, "lineitem").select(

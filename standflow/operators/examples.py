@@ -20,7 +20,7 @@ HORIZON = 10
 QUIET_YEARS = 10
 HISTORY = 3
 MISSING = "missing"
-BLOCK_YEARS = 256
+BLOCK_YEARS = 4096
 
 _POS, _TOTAL, _PREV = "__pos", "__total", "__prev"
 _LAST, _NEXT = "__last_change", "__next_change"

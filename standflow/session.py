@@ -46,6 +46,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def arrow_location(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its file system, as Arrow wants it."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(hadoop_path).toString().replace("s3a://", "s3://", 1)
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back. Later steps start from the files: they
     survive the loss of executors, are read by column, and their size is known to the planner."""

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import arrow_location
+
 PREDICTION_KEYS = ("species", "decade", "scenario", "init_state")
 
 
@@ -48,7 +50,7 @@ def write_predictions(
 def write_arrow_files(df: DataFrame, path: str) -> DataFrame:
     """One Arrow IPC file per partition, written by the tasks as batches arrive; returns file names
     and row counts. A task that is run again replaces its own file."""
-    location = path if "://" in path else f"file://{path}"
+    location = arrow_location(df.sparkSession, path)
 
     def write(batches):
         import pyarrow as pa

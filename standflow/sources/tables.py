@@ -73,7 +73,7 @@ def ingest_arrow_files(spark: SparkSession, glob: str, schema: T.StructType) ->
 
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, local = fs.FileSystem.from_uri(path)
+                system, local = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
                 with system.open_input_file(local) as f:
                     n = pa.ipc.open_file(f).num_record_batches
                 yield pa.RecordBatch.from_arrays(
@@ -89,7 +89,7 @@ def ingest_arrow_files(spark: SparkSession, glob: str, schema: T.StructType) ->
         target = to_arrow_schema(schema)
         for batch in batches:
             for path, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, local = fs.FileSystem.from_uri(path)
+                system, local = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
                 with system.open_input_file(local) as f:
                     body = pa.ipc.open_file(f).get_batch(i).select(names)
                 yield from pa.Table.from_batches([body]).cast(target).to_batches()
