@@ -29,13 +29,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. The cluster names it in `spark.checkpoint.dir`; only where
-    that is unset (tests on one machine) a temporary folder stands in for it."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors see: `spark.checkpoint.dir`, or the session's checkpoint folder.
+
+    A local session without either (tests on one machine) gets a temporary folder; a cluster
+    without either is an error."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="standflow-")
-        spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
