@@ -205,3 +205,24 @@ def near_duplicates(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of `docs`, columns unchanged, that have their component's smallest id.
+
+    Where several rows have that id, the smallest row (by its columns) stays. A row without an id
+    stays only if no row of its component has one."""
+    groups = near_duplicates(docs, id_col, **options)
+    first = groups.where(
+        F.col(id_col).eqNullSafe(F.col("component_id"))
+    ).select(F.col(id_col).alias("__id"), F.lit(1).alias("__one"))
+    ids = first.groupBy("__id").agg(F.count("__one").alias("__n"))
+    kept = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]))
+    single = kept.where((F.col("__n") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    several = (
+        kept.where((F.col("__n") > 1) & F.col(id_col).isNotNull())
+        .groupBy("__id")
+        .agg(F.min(F.struct(*docs.columns)).alias("__row"))
+        .select("__row.*")
+    )
+    return single.unionByName(several)
