@@ -27,7 +27,7 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_length", 2, 15),
     ("symbol_ratio", None, 0.1),
     ("stop_words", 2, None),
-    ("duplicate_line_ratio", None, 0.3),
+    ("duplicate_line_ratio", None, 0.5),
     ("bullet_line_ratio", None, 0.9),
     ("ellipsis_line_ratio", None, 0.3),
     ("letter_word_ratio", 0.7, None),
