@@ -178,7 +178,9 @@ class Transducer:
         return out
 
 
-_SPACE_AFTER_SPACE = re.compile(r"\s ")
+_SPACE_AFTER_SPACE = (  # the characters of \s, for Arrow's pattern matcher
+    "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] "
+)
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 
@@ -186,9 +188,6 @@ def split_at_spaces(text: str) -> tuple[str, list[str]]:
     """The text before the first cut, and the pieces after: cuts lie before single spaces that
     follow something else, where no pre-token of the pattern can reach across. Pieces are given
     without their leading space."""
-    if _SPACE_AFTER_SPACE.search(text) is None:
-        first, *rest = text.split(" ")
-        return first, rest
     first, *rest = _BEFORE_SPACE.split(text)
     return first, [p[1:] for p in rest]
 
@@ -233,29 +232,29 @@ class PieceEncoder:
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """One array per text; null is the empty text."""
         texts = pc.fill_null(texts, "")
-        odd = [_SPACE_AFTER_SPACE.search(t) is not None for t in texts.to_pylist()]
-        plain = texts if not any(odd) else pc.if_else(pa.array(odd), "", texts)
-        split = pc.split_pattern(plain, " ")
-        begins = split.offsets.to_numpy()
-        coded = split.flatten().dictionary_encode()
+        odd = pc.match_substring_regex(texts, _SPACE_AFTER_SPACE).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
+        begins, pieces = split.offsets.to_numpy(), split.flatten()
+        coded = pieces.dictionary_encode()
         ids = self._after_space(coded.dictionary.to_pylist())
-        size = np.array([*map(len, ids)], dtype=np.int64) // self.dtype.itemsize
-        at = np.cumsum(size) - size
+        size = np.array([*map(len, ids)], dtype=np.int32) // self.dtype.itemsize
+        at = np.cumsum(size, dtype=np.int32) - size
         flat = np.frombuffer(b"".join(ids), dtype=self.dtype)
         which = coded.indices.to_numpy()
-        firsts = begins[:-1][np.diff(begins) > 0]
         lengths = size[which]
-        lengths[firsts] = 0  # no space before the first piece of a text
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        place = np.repeat(at[which] - ends[:-1], lengths) + np.arange(ends[-1])
-        ids = flat[place]
-        first_text = [t.partition(" ")[0] for t in plain.to_pylist()]
-        stops = ends[begins]
-        for i, first in enumerate(self._ids([*map(self.find, first_text)])):
+        lengths[begins[:-1]] = 0  # no space before the first piece of a text
+        ends = np.zeros(len(lengths) + 1, dtype=np.int32)  # a batch has less than 2^31 ids
+        np.cumsum(lengths, out=ends[1:])
+        place = np.repeat(at[which] - ends[:-1], lengths)
+        place += np.arange(ends[-1], dtype=np.int32)
+        flat = flat[place]
+        stops = ends[begins].tolist()
+        firsts = self._ids([*map(self.find, pieces.take(pa.array(begins[:-1])).to_pylist())])
+        for i, first in enumerate(firsts):
             if odd[i]:
                 yield self._one(texts[i].as_py())
             else:
-                rest = ids[stops[i] : stops[i + 1]]
+                rest = flat[stops[i] : stops[i + 1]]
                 yield np.concatenate((np.frombuffer(first, self.dtype), rest))
 
     def _one(self, text: str) -> np.ndarray:
