@@ -176,7 +176,6 @@ def write_token_files(
         picked.repartitionByRange("id")
         .sortWithinPartitions("id", "text")
         .mapInArrow(run, "part long, file string, docs long, tokens long")
-        .coalesce(1)
         .write.parquet(f"{folder}/manifest")
     )
 
