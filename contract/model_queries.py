@@ -192,11 +192,12 @@ def _draw(k: int) -> str:
 
 @query("cross_initial_states", f"""
     WITH {_GRID}, {_LOOKUP}, {_INIT}
-    SELECT g.point_id, g.species, g.decade, g.scenario, i.state, l.id AS starting_state,
+    SELECT g.point_id, g.species, g.decade, g.scenario, i.state,
+           coalesce(l.id, 0) AS starting_state,
            1 AS residence_time, CAST({_draw(1)} AS INT) AS hist_time1,
            CAST({_draw(2)} AS INT) AS hist_time2, CAST({_draw(3)} AS INT) AS hist_time3,
            0 AS hist_state1_id, 0 AS hist_state2_id, 0 AS hist_state3_id
-    FROM grid g JOIN init i USING (species) JOIN lookup l USING (state)""")
+    FROM grid g JOIN init i USING (species) LEFT JOIN lookup l USING (state)""")
 def _(spark, d):
     g = grid(spark, d).select("point_id", "species", "decade", "scenario")
     return mio.cross_initial_states(g, init_states(spark, d), lookup(spark, d))
@@ -328,8 +329,8 @@ _WARM = "CAST(floor((c_acctbal / 1000 + 1) / 20.0 * 1000) AS BIGINT)"
 
 @query("predict_grid", f"""
     WITH {_GRID}, {_LOOKUP}, {_INIT},
-    crossed AS (SELECT g.*, i.state, l.id AS s0, {_draw(1)} AS h1, {_WARM} AS warm
-                FROM grid g JOIN init i USING (species) JOIN lookup l USING (state)),
+    crossed AS (SELECT g.*, i.state, coalesce(l.id, 0) AS s0, {_draw(1)} AS h1, {_WARM} AS warm
+                FROM grid g JOIN init i USING (species) LEFT JOIN lookup l USING (state)),
     {_head("ps", f"1 + (((s0 * 3 + i * 7 + warm) % 11) + 11) % 11", N_STATES)},
     {_head("pt", "1 + (s0 + i * 3 + h1) % 7", 10)},
     sw AS (SELECT point_id, state, """ + ", ".join(

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,12 +16,18 @@ ModelLoader = Callable[[], Model]
 
 
 def dense(column: pa.Array, dtype: str) -> np.ndarray:
-    """Rows of equal-length (nested) lists as one array; scalars as a vector."""
+    """Rows of equal-length (nested) lists as one array; scalars as a vector. Nulls and rows of
+    different length are errors: values would move from row to row."""
     shape = [len(column)]
     while pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        lengths = pc.unique(pc.list_value_length(column))
+        if len(lengths) > 1 or lengths.null_count:
+            raise ValueError(f"arrays of one length expected, not of {lengths.to_pylist()}")
         inner = column.flatten()
         shape.append(len(inner) // max(len(column), 1))
         column = inner
+    if column.null_count:
+        raise ValueError("null among the model's inputs")
     return column.to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(shape)
 
 

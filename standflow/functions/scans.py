@@ -36,24 +36,18 @@ def carry(
     summary: Mapping[str, Column],
     carried: Mapping[str, Callable[[WindowSpec], Column]],
     then: Mapping[str, Callable[[WindowSpec], Column]] | None = None,
-    null_safe: bool = False,
 ) -> DataFrame:
     """Summarise each (keys, block), scan the summaries in block order and join the result back.
 
     `summary` names aggregates over one block, `carried` window expressions over them and `then`
-    window expressions over those. `null_safe` lets the keys be null; without it the join keeps
-    the plain partitioning."""
+    window expressions over those. Rows whose keys are null are a group like any other."""
     order = Window.partitionBy(*keys).orderBy(BLOCK)
     on = [*keys, BLOCK]
-    if not null_safe:
-        # the join would filter one of its sides only, and the two could not share a shuffle
-        for k in on:
-            df = df.where(F.col(k).isNotNull())
     blocks = df.groupBy(*on).agg(*[c.alias(n) for n, c in summary.items()])
     scanned = blocks.select(*on, *[make(order).alias(n) for n, make in carried.items()])
     if then:
         scanned = scanned.select("*", *[make(order).alias(n) for n, make in then.items()])
-    return null_safe_join(df, scanned, on) if null_safe else df.join(scanned, on)
+    return null_safe_join(df, scanned, on)
 
 
 def blocked_row_number(
@@ -62,7 +56,6 @@ def blocked_row_number(
     block: Column,
     order: Sequence[Column | str],
     name: str,
-    null_safe: bool = False,
 ) -> DataFrame:
     """1-based running number per group. `block` must not decrease along `order`."""
     counted = carry(
@@ -70,7 +63,6 @@ def blocked_row_number(
         keys,
         {"__n": F.count(F.lit(1))},
         {"__before": lambda w: F.coalesce(F.sum("__n").over(preceding(w)), F.lit(0))},
-        null_safe=null_safe,
     )
     within = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     return counted.withColumn(name, F.col("__before") + F.row_number().over(within)).drop(

@@ -34,7 +34,8 @@ def _with_block(df: DataFrame, order: str, block_years: int) -> DataFrame:
     """Adds the block, unless an earlier step has left it: then its partitioning is used again."""
     if BLOCK in df.columns:
         return df
-    return df.withColumn(BLOCK, F.floor(F.col(order) / block_years))
+    missing = F.raise_error(F.lit(f"{order} is null in a timeline")).cast("bigint")
+    return df.withColumn(BLOCK, F.coalesce(F.floor(F.col(order) / block_years), missing))
 
 
 def with_previous(

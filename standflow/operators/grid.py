@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.joins import null_safe_join
 
 # Classes of the dominant-species map, in map order from 1.
 MAP_CLASSES = (
@@ -47,7 +48,8 @@ def attach_to_grid(
 def point_in_polygon(
     points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", band: float = 1.0
 ) -> DataFrame:
-    """(points, poly_id) for points inside an outline; points are unique rows.
+    """(points, poly_id) for points inside an outline; equal points are counted once and given as
+    often as they occur.
 
     A ray to the right of each point is crossed an odd number of times. Points and edges meet
     in horizontal bands of height `band`, so a point only sees edges at its own height."""
@@ -55,7 +57,8 @@ def point_in_polygon(
     banded = edges.where(F.col("y1") != F.col("y2")).withColumn(
         "__band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band)))
     )
-    p = points.withColumn("__band", F.floor(F.col(y) / band))
+    p = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__copies"))
+    p = p.withColumn("__band", F.floor(F.col(y) / band))
     spans = (F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))
     at = (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) / (
         F.col("y2") - F.col("y1")
@@ -63,10 +66,11 @@ def point_in_polygon(
     return (
         p.join(banded, ["__band"])
         .where(spans & (F.col(x) < at))
-        .groupBy(*points.columns, "poly_id")
+        .groupBy(*points.columns, "__copies", "poly_id")
         .agg(F.count(F.lit(1)).alias("__crossings"))
         .where(F.col("__crossings") % 2 == 1)
-        .drop("__crossings")
+        .withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        .select(*points.columns, "poly_id")
     )
 
 
@@ -78,10 +82,11 @@ def polygon_union_mask(
     y: str = "y",
     band: float = 1.0,
 ) -> DataFrame:
-    """Points inside at least one of two sets of outlines."""
+    """Points inside at least one of two sets of outlines, as often as they occur."""
     a = point_in_polygon(points, edges_a, x, y, band).drop("poly_id")
     b = point_in_polygon(points, edges_b, x, y, band).drop("poly_id")
-    return a.unionByName(b).distinct()
+    inside = a.unionByName(b).distinct()
+    return null_safe_join(points, inside, points.columns, "left_semi")
 
 
 def class_filter(cells: DataFrame, classes: Sequence[int], cls: str = "class") -> DataFrame:

@@ -108,10 +108,14 @@ def cross_initial_states(
     part: Sequence[str] = ("species", "decade", "scenario"),
     seed: int = 1,
 ) -> DataFrame:
-    """Every grid row with every initial state of its species, encoded. History is missing,
-    residence time is 1, and the three history times are drawn once per input part and state."""
-    states = init_states.select("species", "state").join(
-        lookup.select("state", F.col("stateID").alias("starting_state")), ["state"]
+    """Every grid row with every initial state of its species, encoded; a state that the lookup does
+    not have gets the id of a missing one. History is missing, residence time is 1, and the three
+    history times are drawn once per input part and state."""
+    known = lookup.select("state", F.col("stateID").alias("starting_state"))
+    states = (
+        init_states.select("species", "state")
+        .join(known, ["state"], "left")
+        .withColumn("starting_state", F.coalesce("starting_state", F.lit(MISSING_ID)))
     )
     draw = lambda k: (
         1 + F.pmod(hash_int(*part, "state", F.lit(k), seed=seed), F.lit(10))

@@ -77,15 +77,16 @@ def coverage_subsample(
 
 def _position_ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`__start`: how many rows (copies counted) of the same cell have a smaller digest."""
-    within = Window.partitionBy(*keys, BLOCK).orderBy("__digest")
+    # different rows may have one digest (null and ''); their values then decide
+    own = [c for c in rows.columns if not c.startswith("__")]
+    within = preceding(Window.partitionBy(*keys, BLOCK).orderBy("__digest", *own))
     return carry(
         rows.withColumn(BLOCK, F.substring("__digest", 1, 3)),
         keys,
         {"__rows": F.sum("__copies")},
         {"__before": lambda w: F.coalesce(F.sum("__rows").over(preceding(w)), F.lit(0))},
-        null_safe=True,
     ).withColumn(
-        "__start", F.col("__before") + F.sum("__copies").over(within) - F.col("__copies")
+        "__start", F.col("__before") + F.coalesce(F.sum("__copies").over(within), F.lit(0))
     )
 
 
@@ -200,7 +201,7 @@ def rare_state_filter(
     frequent = combos.withColumns(totals).drop("__n")
     for name in totals:
         frequent = frequent.where(F.col(name) > min_count)
-    return df.join(frequent, list(cols)).select(*df.columns, *totals)
+    return null_safe_join(df, frequent, list(cols)).select(*df.columns, *totals)
 
 
 def closed_state_set(

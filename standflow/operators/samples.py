@@ -146,13 +146,12 @@ def unstack_years(
     df: DataFrame, keys: Sequence[str], seq: str, cols: Sequence[str], n: int = SPAN
 ) -> DataFrame:
     """`<col>_<s>` for s = 1..n, one row per key. The n rows of a key are gathered once as a map
-    from s, instead of one aggregate per output column."""
+    from s, instead of one aggregate per output column. A number outside 1..n is an error: no row is
+    left out in silence."""
     entry = F.struct(F.col(seq).alias("k"), F.struct(*cols).alias("v"))
-    rows = (
-        df.where(F.col(seq).between(1, n))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("__rows"))
-    )
+    surplus = F.raise_error(F.concat(F.lit(f"{seq} is not within 1..{n}: "), F.col(seq)))
+    entry = F.when(F.col(seq).between(1, n), entry).otherwise(surplus)
+    rows = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("__rows"))
     at = {s: F.try_element_at("__rows", F.lit(s).cast(df.schema[seq].dataType)) for s in range(1, n + 1)}
     return rows.select(
         *keys, *[at[s][c].alias(f"{c}_{s}") for c in cols for s in range(1, n + 1)]
