@@ -7,14 +7,16 @@ comparing a few sampled steps is an LSH. Here every word of every document start
 window. Items are embedded from several of their words on, each as an anchor of the whole window,
 so that edits in front of an anchor cost nothing; an anchor that agrees with a window on the sampled
 steps of any repetition gives a candidate place, and the exact edit distance (in words, bit-parallel)
-of the item to the text around it decides. `bench_recall` of the tests measures the recall at the
-largest distance allowed.
+of the item to the text around it decides. The tests measure the recall at all
+distances allowed.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -77,10 +79,13 @@ class Matcher:
         self.items = [(i, words_of(t)) for i, t in items]
         self.items = [(i, w) for i, w in self.items if w]
         self.allowed = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
+        self.vocabulary = [frozenset(w) for _, w in self.items]
         draw = np.random.default_rng(SEED)
         self.bits = draw.integers(1, 1 << 63, REPETITIONS, dtype=np.uint64) | np.uint64(1)
+        # the first step is always sampled: windows whose first word begins no anchor need no walk
         self.steps = [
-            np.sort(draw.choice(STEPS, SAMPLED, replace=False)) for _ in range(REPETITIONS)
+            np.append(0, 1 + np.sort(draw.choice(STEPS - 1, SAMPLED - 1, replace=False)))
+            for _ in range(REPETITIONS)
         ]
         anchors, words = [], []  # (item, word of the item), all words after each other
         self.short: dict[bytes, list[tuple[int, int]]] = {}
@@ -94,6 +99,8 @@ class Matcher:
             words += w
         self.anchors = np.array(anchors, dtype=np.int64).reshape(-1, 3)
         symbols = np.append(_symbols(words), np.zeros(STEPS, np.uint64))
+        self.begins = np.zeros(_TABLE, dtype=bool)
+        self.begins[(symbols[self.anchors[:, 2]] & np.uint64(_TABLE - 1)).astype(np.int64)] = True
         self.tables = []
         for r in range(REPETITIONS):
             at, keys = self.anchors[:, 2], None
@@ -108,11 +115,10 @@ class Matcher:
     def _walk(self, symbols: np.ndarray, start: np.ndarray, r: int, filters=None) -> Iterator:
         """Walks from the starts: after each sampled step, (the starts, keys so far). With filters,
         walks that cannot be an item's any more are left."""
-        h = _mix(symbols ^ self.bits[r])
         at, key = start, np.zeros(len(start), dtype=np.uint64)
         sampled = 0
         for step in range(STEPS):
-            here = h[at]
+            here = _mix(symbols[at] ^ self.bits[r])
             if sampled < SAMPLED and self.steps[r][sampled] == step:
                 key = _mix(key ^ here)
                 if filters is not None:
@@ -127,10 +133,10 @@ class Matcher:
     def places(self, symbols: np.ndarray) -> set[tuple[int, int]]:
         """(item, word where it would begin) of the candidates."""
         found: set[tuple[int, int]] = set()
-        n = len(symbols)
+        begin = np.flatnonzero(self.begins[(symbols & np.uint64(_TABLE - 1)).astype(np.int64)])
         symbols = np.append(symbols, np.zeros(STEPS, np.uint64))
         for r, (filters, keys, order) in enumerate(self.tables if len(self.anchors) else ()):
-            for start, key in self._walk(symbols, np.arange(n), r, filters):
+            for start, key in self._walk(symbols, begin, r, filters):
                 pass
             low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
             for s, a, b in zip(start[high > low].tolist(), low[high > low], high[high > low]):
@@ -142,7 +148,7 @@ class Matcher:
         """(text, item id, first word, words, edits) of every occurrence; of overlapping ones of
         an item the closest."""
         words = [words_of(t) for t in texts]
-        begins = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        begins = [0, *accumulate(map(len, words))]
         together = [w for each in words for w in each]
         regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
         places = self.places(_symbols(together))
@@ -165,16 +171,18 @@ class Matcher:
             for low, high in spans:
                 text = words[t][low - begins[t] : high - begins[t]]
                 for first, count, edits in self._occurrences(n, text):
-                    yield t, self.items[n][0], int(first + low - begins[t]), count, edits
+                    yield t, self.items[n][0], first + low - begins[t], count, edits
 
     @staticmethod
-    def _text(begins: np.ndarray, word: int) -> int:
-        last = len(begins) - 2
-        return min(max(int(np.searchsorted(begins, word, "right")) - 1, 0), last)
+    def _text(begins: list[int], word: int) -> int:
+        return min(max(bisect_right(begins, word) - 1, 0), len(begins) - 2)
 
     def _occurrences(self, n: int, text: list[bytes]) -> list[tuple[int, int, int]]:
         item, allowed = self.items[n][1], self.allowed[n]
         out: list[tuple[int, int, int]] = []
+        # words of the item that the text cannot match are edits
+        if sum(map(self.vocabulary[n].__contains__, text)) < len(item) - allowed:
+            return out
         for edits, end in sorted(edit_search(item, text)):
             if edits > allowed:
                 break
