@@ -57,7 +57,7 @@ def _(spark, d):
 def _(spark, d):
     path = scratch_path(spark, "edges")
     edges = shared(spark, d, "b_edges").withColumnRenamed("species", "range_edges_df")
-    edges.write.partitionBy("range_edges_df").csv(path, sep=" ", header=True)
+    edges.write.partitionBy("range_edges_df").csv(path, sep=" ", header=True, nullValue="NA")
     schema = T.StructType.fromDDL("point_id bigint, edge string, MAT_avg double, ANP_avg double")
     return r6(tables.read_delim_per_key(
         spark, f"{path}/*/*.csv", "range_edges_df=([A-Za-z_]+)/", schema

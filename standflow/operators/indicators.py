@@ -178,17 +178,21 @@ def prediction_uncertainty(
     time_proba: str = "time_proba_1",
 ) -> DataFrame:
     """Mean state and time probability per point before and after the baseline end; a null makes
-    the mean of its group null."""
+    the mean of its group null. Historical rows are summed before the sums take part in every
+    scenario."""
+    means = {"mean_state_proba": state_proba, "mean_time_proba": time_proba}
+    period = F.when(F.col("timestep").isin(*baseline), "historical").otherwise("future")
+    sums = df.groupBy("species", "rcp", period.alias("period"), "point_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(f"sum_{m}") for m, c in means.items()],
+        *[F.count(c).alias(f"n_{m}") for m, c in means.items()],
+    )
 
-    def strict_mean(c: str) -> Column:
-        return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
+    def strict_mean(m: str) -> Column:
+        return F.when(F.sum(f"n_{m}") == F.sum("n"), F.sum(f"sum_{m}") / F.sum("n"))
 
-    period = F.when(F.col("timestep").isin(*baseline), "historical").otherwise("future")
     return (
-        scenario_fanout(df, rcps)
-        .groupBy("species", "rcp", period.alias("period"), "point_id")
-        .agg(
-            strict_mean(state_proba).alias("mean_state_proba"),
-            strict_mean(time_proba).alias("mean_time_proba"),
-        )
+        scenario_fanout(sums, rcps)
+        .groupBy("species", "rcp", "period", "point_id")
+        .agg(*[strict_mean(m).alias(m) for m in means])
     )

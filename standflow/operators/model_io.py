@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int, hash_unit
 from ..functions.model_apply import ModelLoader, apply_model
+from ..session import materialise
 
 # Fixed values of the study.
 TRAIN_SHARE = 0.8
@@ -110,18 +111,28 @@ def cross_initial_states(
 ) -> DataFrame:
     """Every grid row with every initial state of its species, encoded; a state that the lookup does
     not have gets the id of a missing one. History is missing, residence time is 1, and the three
-    history times are drawn once per input part and state."""
+    history times are drawn once per input part and state.
+
+    The states are stored as one row per species, so that the planner knows their size and the wide
+    grid is shuffled by species only if they are too many to broadcast."""
     known = lookup.select("state", F.col("stateID").alias("starting_state"))
-    states = (
+    one = F.struct(
+        "state", F.coalesce("starting_state", F.lit(MISSING_ID)).alias("starting_state")
+    )
+    states = materialise(
         init_states.select("species", "state")
         .join(known, ["state"], "left")
-        .withColumn("starting_state", F.coalesce("starting_state", F.lit(MISSING_ID)))
+        .groupBy("species")
+        .agg(F.collect_list(one).alias("__states")),
+        "init_states",
     )
     draw = lambda k: (
         1 + F.pmod(hash_int(*part, "state", F.lit(k), seed=seed), F.lit(10))
     ).cast("int")
     return (
         grid.join(states, ["species"])
+        .withColumn("__state", F.explode("__states"))
+        .select(*grid.columns, "__state.*")
         .withColumns({
             **{f"hist_state{k}_id": F.lit(MISSING_ID) for k in (1, 2, 3)},
             "residence_time": F.lit(1),

@@ -31,8 +31,10 @@ UNUSED_COLUMNS = (
 )
 
 
-def _mean(values: Column, n: int) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / n
+def _mean(values: Column) -> Column:
+    """Missing days are left out; without any day the mean is null."""
+    days = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
+    return F.try_divide(F.aggregate(days, F.lit(0.0), lambda acc, v: acc + v), F.size(days))
 
 
 def feature_names() -> list[str]:
@@ -76,7 +78,7 @@ def complete_windows(
 
 def annual_climate_means(climate: DataFrame) -> DataFrame:
     """MAT, ANP, Mrad, Mvpd: yearly means of the daily values (precipitation too)."""
-    return climate.withColumns({n: _mean(F.col(v), DAYS) for v, n in ANNUAL_NAMES.items()})
+    return climate.withColumns({n: _mean(F.col(v)) for v, n in ANNUAL_NAMES.items()})
 
 
 def monthly_climate_means(climate: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def monthly_climate_means(climate: DataFrame) -> DataFrame:
     for v in MONTHLY_VARIABLES:
         start = 1
         for m, days in enumerate(DAYS_IN_MONTH, 1):
-            columns[f"{v}_month{m}"] = _mean(F.slice(v, start, days), days)
+            columns[f"{v}_month{m}"] = _mean(F.slice(v, start, days))
             start += days
     return climate.withColumns(columns)
 

@@ -23,8 +23,13 @@ def write_table_overwrite(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_csv_result(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").csv(path, header=True)
-    return df.sparkSession.read.schema(df.schema).csv(path, header=True)
+    """CSV with a header; quotes inside a field are written twice, and an empty text reads back as
+    null. Each task writes a file of its own, so reading back file by file (fields may hold line
+    breaks) stays parallel."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
+    return df.sparkSession.read.schema(df.schema).csv(
+        path, header=True, escape='"', multiLine=True, mode="FAILFAST"
+    )
 
 
 def write_partitioned_dataset(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:

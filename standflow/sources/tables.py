@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
+MISSING = "NA"
+
 # File names are `<species>_<decade>_<scenario>.<extension>`.
 FILE_PATTERNS = {
     "species": r"(\w*)_[0-9]{4}-[0-9]{4}_",
@@ -50,21 +54,54 @@ def scan_by_id_list(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), [key], "left_semi").select(*df.columns)
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+def read_csv_table(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header and quotes written twice inside a field; `NA` and empty fields are null. A
+    field that does not fit its type, or a row of another width, is an error. Line breaks inside
+    fields need `multi_line`, which reads each file in one task."""
+    return spark.read.schema(schema).csv(
+        path, header=True, escape='"', nullValue=MISSING, multiLine=multi_line, mode="FAILFAST"
+    )
 
 
 def read_delim_per_key(
     spark: SparkSession, glob: str, key_regex: str, schema: T.StructType, key: str = "species"
 ) -> DataFrame:
-    """Space-delimited files with a header, one per key; the key is cut from the file path."""
-    df = spark.read.schema(schema).csv(glob, sep=" ", header=True)
-    return df.withColumn(key, F.regexp_extract("_metadata.file_path", key_regex, 1))
+    """Files with a header and fields parted by runs of blanks, one per key; the key is cut from
+    the file path. Fields may be quoted; `NA` is null. A row with one field more than the schema
+    starts with its row name, which is left out; a row of any other width is an error."""
+    # one column: the CSV reader is there to leave out the header of each file
+    lines = spark.read.schema("line string").csv(glob, sep="\u0001", quote="", header=True)
+    n = len(schema.fields)
+    tokens = F.regexp_extract_all("line", F.lit(r"""("[^"]*"|'[^']*'|\S+)"""), F.lit(1))
+    width = F.size("tokens")
+    surplus = F.raise_error(F.concat(F.lit(f"not {n} fields: "), F.col("line")))
+    rows = (
+        lines.select(
+            "line", tokens.alias("tokens"),
+            F.regexp_extract("_metadata.file_path", key_regex, 1).alias("key"),
+        )
+        .where(width > 0)
+        .withColumn("first", F.when(width == n, 0).when(width == n + 1, 1).otherwise(surplus))
+    )
+
+    def field(i: int) -> Column:
+        token = F.regexp_replace(F.get("tokens", F.col("first") + i), r"""^["']|["']$""", "")
+        return F.when(token != MISSING, token)
 
+    return rows.select(
+        *[field(i).cast(f.dataType).alias(f.name) for i, f in enumerate(schema.fields)],
+        F.col("key").alias(key),
+    )
 
-def ingest_arrow_files(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
-    """Feather (Arrow IPC) files as one table. Footers are read first, then every record batch is
-    a row to be fetched by its own task, so a large file is read by many."""
+
+def ingest_arrow_files(
+    spark: SparkSession, glob: str, schema: T.StructType, batches_per_task: int = 16
+) -> DataFrame:
+    """Feather (Arrow IPC) files as one table. Footers are read first and the list of record batches
+    is written to the shared folder; it is then dealt to tasks of about `batches_per_task`, so a
+    large file is read by many."""
     names = [f.name for f in schema.fields]
 
     def footers(batches):
@@ -96,8 +133,10 @@ def ingest_arrow_files(spark: SparkSession, glob: str, schema: T.StructType) ->
 
     # only the path is selected, so file contents are not loaded here
     paths = spark.read.format("binaryFile").load(glob).select("path")
-    parts = paths.mapInArrow(footers, "path string, batch int")
-    return parts.repartition("path", "batch").mapInArrow(bodies, schema)
+    parts = materialise(paths.mapInArrow(footers, "path string, batch int"), "batches")
+    # a given number of partitions is not coalesced
+    tasks = -(-parts.count() // batches_per_task)
+    return parts.repartition(max(tasks, 1), "path", "batch").mapInArrow(bodies, schema)
 
 
 def read_parquet_set(spark: SparkSession, glob: str) -> DataFrame:

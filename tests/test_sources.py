@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,49 @@ def test_arrow_files_round_trip(spark):
     assert back.agg(F.sum("id"), F.sum("v")).first() == df.agg(F.sum("id"), F.sum("v")).first()
 
 
+def test_arrow_batches_are_dealt_to_several_tasks(spark):
+    path = scratch_path(spark, "b")
+    df = spark.range(0, 60000, 1, 12)
+    sinks.write_arrow_files(df, path).count()
+    back = tables.ingest_arrow_files(spark, f"{path}/*.arrow", df.schema, batches_per_task=1)
+    filled = back.groupBy(F.spark_partition_id()).count()
+    assert back.count() == 60000 and filled.count() > 4
+
+
+def test_csv_as_the_study_writes_it(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b\n1,"he said ""x, y"""\nNA,NA\n,z\n')
+    got = tables.read_csv_table(spark, str(path), T.StructType.fromDDL("a int, b string"))
+    assert got.collect() == [(1, 'he said "x, y"'), (None, None), (None, "z")]
+    path.write_text("a,b\n1x,y\n")
+    bad = tables.read_csv_table(spark, str(path), T.StructType.fromDDL("a int, b string"))
+    with pytest.raises(Exception, match="MALFORMED"):
+        bad.collect()
+
+
+def test_csv_result_keeps_quotes_and_line_breaks(spark):
+    df = spark.createDataFrame(
+        [(1, 'a "b", c'), (2, "x\ny"), (3, "back\\slash"), (4, None)], "i int, s string"
+    )
+    back = sinks.write_csv_result(df, scratch_path(spark, "c"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_blank_parted_files_with_row_names(spark, tmp_path):
+    (tmp_path / "abal_edges.txt").write_text(
+        '"point_id" "edge" "MAT"\n"1" 7 "warm dry"   3.5\n"2" 8 NA NA\n'
+    )
+    (tmp_path / "fasy_edges.txt").write_text("point_id edge MAT\n9  center\t-1\n")
+    schema = T.StructType.fromDDL("point_id long, edge string, MAT double")
+    got = tables.read_delim_per_key(spark, f"{tmp_path}/*.txt", r"/(\w+)_edges", schema)
+    assert sorted(map(tuple, got.collect())) == [
+        (7, "warm dry", 3.5, "abal"), (8, None, None, "abal"), (9, "center", -1.0, "fasy")
+    ]
+    (tmp_path / "short_edges.txt").write_text("point_id edge MAT\n9 center\n")
+    with pytest.raises(Exception, match="not 3 fields"):
+        tables.read_delim_per_key(spark, f"{tmp_path}/short*.txt", "/(s)", schema).collect()
+
+
 def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([(1, "x")], "id int, s string")
     b = spark.createDataFrame([(2,)], "id int")
