@@ -62,3 +62,10 @@ def test_model_inputs_of_uneven_shape_are_errors(values):
     with pytest.raises(ValueError):
         dense(pa.array(values, pa.list_(pa.float64())), "float32")
     assert dense(pa.array([[1, 2], [3, 4]], pa.list_(pa.float64())), "float32").tolist() == [[1, 2], [3, 4]]
+
+
+def test_missing_days_are_left_out_of_yearly_means(spark):
+    days = ", ".join(f"array(1D, NULL, double('NaN'), 3D) AS {v}" for v in ("tas", "prec", "rad"))
+    rows = spark.sql(f"SELECT {days}, array(CAST(NULL AS DOUBLE)) AS vpd")
+    got = sm.annual_climate_means(rows).select("MAT", "Mvpd").first()
+    assert tuple(got) == (2.0, None)
