@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality import let
+
 MAX_STRINGS = 24
 MASK = "[SECRET]"
 
@@ -114,8 +116,9 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 def trigram_index(docs: DataFrame, trigrams: list[str], text_col: str = "text") -> DataFrame:
     """Postings (trigram, id) of the given trigrams in lower-cased texts."""
-    low = F.lower(text_col)
-    found = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(low, t))
+    grams = F.array(*[F.lit(t) for t in trigrams])
+    # the text is lower-cased once, not once per trigram
+    found = let(F.lower(text_col), lambda low: F.filter(grams, lambda t: F.contains(low, t)))
     return docs.select("id", F.explode(found).alias("trigram"))
 
 
