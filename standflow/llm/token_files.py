@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
@@ -48,7 +49,8 @@ class LibraryEncoder(PieceEncoder):
     """Ids by the tokenizers library, as `width`-byte integers.
 
     The library gets many pieces of text in one call; the bytes that each id stands for tell which
-    ids belong to which piece."""
+    ids belong to which piece. A text that holds a string the tokenizer has an own id for goes to
+    the library whole, as that id reaches over pieces."""
 
     def __init__(self, path: str, width: int):
         super().__init__(PRE_TOKEN, f"<u{width}")
@@ -56,13 +58,26 @@ class LibraryEncoder(PieceEncoder):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # pieces are plain text
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         # byte-level vocabularies write each byte as one character
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)
 
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        has_added = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            has_added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        for i, ids in enumerate(super().encode(texts)):
+            if has_added[i]:
+                encoded = self.whole.encode(texts[i].as_py(), add_special_tokens=False)
+                ids = np.array(encoded.ids, self.dtype)
+            yield ids
+
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]

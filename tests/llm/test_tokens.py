@@ -16,7 +16,7 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, ids string"
 ODD = [
     None, "", " ", "  ", "a  b", "a \n b", "\n\n x", "tab\t x ", "don't we'll", "   lead", "trail  ",
-    "é ñ ü 😀😀 日本語", "x  y  z", "!\x1c\x1d? a\x1c b", "\x85 q", "<|endoftext|> a", "a" * 5000,
+    "é ñ ü 😀😀 日本語", "x  y  z", "!\x1c\x1d? a\x1c b", "\x85 q", "<|endoftext|> a", "b<|endoftext|>", "a" * 5000,
     " " * 3000, "0123456789" * 200, "ab " * 2000, "‍👩‍👧 ok", "===== " * 50, "\r\n \r\n",
 ]
 
@@ -81,7 +81,6 @@ def test_stream_cuts_anywhere():
 
 def test_token_files(spark, rows, tmp_path):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     folder = f"file://{tmp_path}/tokens"
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
