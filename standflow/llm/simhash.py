@@ -16,8 +16,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from standflow.session import materialise
 
@@ -61,6 +62,11 @@ def fingerprints(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3
 ) -> DataFrame:
     """(id, fp long) per row. No words: fingerprint zero."""
+    return _prints(docs, F.col(id_col).cast("long"), text_col, shingle)
+
+
+def _prints(docs: DataFrame, id: Column, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp), where id is any column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,8 +78,9 @@ def fingerprints(
                 fps = fingerprint(hashes, ends).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], ["id", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "id long, fp long")
+    picked = docs.select(id.alias("id"), F.col(text_col).alias("text"))
+    schema = T.StructType([picked.schema["id"], T.StructField("fp", T.LongType())])
+    return picked.mapInArrow(run, schema)
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -190,6 +197,18 @@ def near_duplicates(
     like any other. A null id is no candidate for component_id, which is null where a component has
     no other; rows of one id are rows of their own. Empty table: no rows. Other columns are not
     read. Runs jobs for the stages it writes to the shared folder."""
+    grouped = _components(docs, id_col, text_col, shingle, distance, blocks, tile)
+    return grouped.select(
+        F.col("id").alias(id_col),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
+def _components(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, distance: int, blocks: int, tile: int
+) -> DataFrame:
+    """(id, fp, component_id, root) per row; root is the component's smallest fingerprint."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = connected_components(links(classes.select("fp"), distance, blocks, tile))
@@ -198,31 +217,47 @@ def near_duplicates(
     )
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = materialise(
-        rooted.join(groups, "root").select("fp", "component_id"), "components"
-    )
-    return prints.join(of_fp, "fp").select(
-        F.col("id").alias(id_col),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
+        rooted.join(groups, "root").select("fp", "component_id", "root"), "components"
     )
+    return prints.join(of_fp, "fp").select("id", "fp", "component_id", "root")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, columns unchanged, that have their component's smallest id.
+def keep_one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    distance: int = 3,
+    blocks: int = 6,
+    tile: int = TILE,
+) -> DataFrame:
+    """One row of each component of `docs`, columns unchanged: that of the smallest id.
 
-    Where several rows have that id, the smallest row (by its columns) stays. A row without an id
+    Where several rows of a component have that id, the smallest row (by its columns) stays. Rows
+    of one id in different components are told apart by their fingerprints. A row without an id
     stays only if no row of its component has one."""
-    groups = near_duplicates(docs, id_col, **options)
-    first = groups.where(
-        F.col(id_col).eqNullSafe(F.col("component_id"))
-    ).select(F.col(id_col).alias("__id"), F.lit(1).alias("__one"))
-    ids = first.groupBy("__id").agg(F.count("__one").alias("__n"))
-    kept = docs.join(ids, docs[id_col].eqNullSafe(ids["__id"]))
-    single = kept.where((F.col("__n") == 1) | F.col(id_col).isNull()).select(*docs.columns)
+    grouped = _components(docs, id_col, text_col, shingle, distance, blocks, tile)
+    first = F.col("id").eqNullSafe(F.col("component_id"))
+    ids = (
+        grouped.groupBy(F.col("id").alias("__id"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.max(first).alias("__first"))
+        .where("__first")
+    )
+    rows = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["__id"]))
+    single = rows.where("__n = 1").select(*docs.columns)
+    # of an id that several rows have, the fingerprint tells which row is which
+    shared = _prints(
+        rows.where("__n > 1").select(*docs.columns), F.struct(*docs.columns), text_col, shingle
+    ).select(F.col("id").alias("__row"), "fp", F.col("id")[id_col].cast("long").alias("id"))
+    firsts = grouped.where(first).join(
+        ids.where("__n > 1"), F.col("id").eqNullSafe(F.col("__id"))
+    ).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "root").distinct()
     several = (
-        kept.where((F.col("__n") > 1) & F.col(id_col).isNotNull())
-        .groupBy("__id")
-        .agg(F.min(F.struct(*docs.columns)).alias("__row"))
+        shared.join(
+            firsts, (F.col("fp") == F.col("__fp")) & F.col("id").eqNullSafe(F.col("__id"))
+        )
+        .groupBy("__id", "root")
+        .agg(F.min("__row").alias("__row"))
         .select("__row.*")
     )
     return single.unionByName(several)
