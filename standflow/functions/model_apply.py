@@ -38,13 +38,18 @@ def apply_model(
     outputs: Mapping[str, int],
     drop: Sequence[str] = (),
     dtype: str = "float32",
+    best: int | None = None,
 ) -> DataFrame:
     """Append one array column per model output (`outputs` maps name to length). Input columns
-    listed in `drop` do not travel back."""
+    listed in `drop` do not travel back. With `best`, an output is an array of that many structs
+    (i, p): index and value of the largest values, the lower index on ties, NaN last."""
     kept = [f for f in df.schema.fields if f.name not in drop]
-    schema = T.StructType(
-        kept + [T.StructField(n, T.ArrayType(T.DoubleType(), False)) for n in outputs]
+    item = (
+        T.DoubleType()
+        if best is None
+        else T.StructType([T.StructField("i", T.IntegerType()), T.StructField("p", T.DoubleType())])
     )
+    schema = T.StructType(kept + [T.StructField(n, T.ArrayType(item, False)) for n in outputs])
     names = [f.name for f in kept]
 
     def run(batches):
@@ -57,10 +62,17 @@ def apply_model(
             arrays = [columns[n] for n in names]
             for name, size in outputs.items():
                 values = np.asarray(result[name], dtype="float64").reshape(batch.num_rows, size)
-                offsets = np.arange(0, values.size + 1, size, dtype="int32")
-                arrays.append(
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
-                )
+                if best is None:
+                    flat, width = pa.array(values.ravel()), size
+                else:
+                    order = np.argsort(-values, axis=1, kind="stable")[:, :best]
+                    flat, width = pa.StructArray.from_arrays(
+                        [pa.array(order.ravel().astype("int32")),
+                         pa.array(np.take_along_axis(values, order, axis=1).ravel())],
+                        names=["i", "p"],
+                    ), order.shape[1]
+                offsets = np.arange(0, len(flat) + 1, width, dtype="int32")
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), flat))
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, *outputs])
 
     return df.mapInArrow(run, schema)

@@ -12,14 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.joins import null_safe_join
+from ..session import materialise
 
-# Classes of the dominant-species map, in map order from 1.
-MAP_CLASSES = (
-    "abal", "algl", "bepe", "cabe", "casa", "eugl", "fasy", "frex", "lade", "broa",
-    "coni", "pine", "quer", "piab", "pipi", "pisy", "potr", "psme", "quro", "rops",
-)
-
-# Species of the study behind a class of that map.
+# Species of the study behind a class of the dominant-species map.
 CLASS_SPECIES = {
     1: "Abies_alba",
     3: "Betula_pendula",
@@ -167,18 +162,23 @@ def class_share(
 
 def csi_grid(lai: DataFrame, height: DataFrame, grid: DataFrame) -> DataFrame:
     """Cell-wise mean of both net changes (null if either is), with least and greatest value per
-    species and scenario."""
+    species and scenario. The cells are written, as they are read twice; the limits, one row per
+    species and scenario, are written too, so that their size is known when they are joined."""
     keys = ["species", "rcp", "point_id"]
     a = lai.dropna().select(*keys, F.col("net_change").alias("a"))
     b = height.dropna().select(*keys, F.col("net_change").alias("b"))
-    cells = (
+    cells = materialise(
         a.join(b, keys, "full")
         .withColumn("csi", (F.col("a") + F.col("b")) / 2)
         .drop("a", "b")
-        .join(grid.select("point_id", "x", "y"), ["point_id"])
+        .join(grid.select("point_id", "x", "y"), ["point_id"]),
+        "cells",
     )
-    limits = cells.groupBy("species", "rcp").agg(
-        F.min("csi").alias("min_csi"), F.max("csi").alias("max_csi")
+    limits = materialise(
+        cells.groupBy("species", "rcp").agg(
+            F.min("csi").alias("min_csi"), F.max("csi").alias("max_csi")
+        ),
+        "limits",
     )
     return cells.join(limits, ["species", "rcp"])
 

@@ -51,8 +51,10 @@ def encode_states(
     unknown: int = MISSING_ID,
     target_time: str | None = None,
 ) -> DataFrame:
-    """`<col>_id` for each state column, unknown codes to `unknown`; times count from 0."""
-    out = df
+    """`<col>_id` for each state column, unknown codes to `unknown`; times count from 0. The lookup
+    is written first: the planner knows its size, and shuffles the rows only if it is too large to
+    broadcast."""
+    out, lookup = df, materialise(lookup.select("state", "stateID"), "lookup")
     for c in cols:
         ids = lookup.select(F.col("state").alias(c), F.col("stateID").alias(f"{c}_id"))
         out = out.join(ids, [c], "left").withColumn(
@@ -181,9 +183,22 @@ def top_k_predictions(
     )
 
 
+def spread_best(
+    df: DataFrame, best: str, index_name: str, proba_name: str, k: int = TOP_K, base: int = 0
+) -> DataFrame:
+    """The columns of `top_k_predictions`, from a column of the best classes as `apply_model` gives
+    it, which goes."""
+    at = lambda j: F.get(best, F.lit(j))
+    return df.select(
+        *[c for c in df.columns if c != best],
+        *[(at(j)["i"] + base).alias(f"{index_name}_{j + 1}") for j in range(k)],
+        *[at(j)["p"].alias(f"{proba_name}_{j + 1}") for j in range(k)],
+    )
+
+
 def decode_states(df: DataFrame, lookup: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """State ids back to codes, in place."""
-    out = df
+    """State ids back to codes, in place. The lookup is written first, as in `encode_states`."""
+    out, lookup = df, materialise(lookup.select("state", "stateID"), "lookup")
     for c in cols:
         names = lookup.select(F.col("stateID").cast(df.schema[c].dataType).alias(c),
                               F.col("state").alias("__state"))

@@ -214,25 +214,28 @@ def closed_state_set(
     first state column (and the sentinel, unless `keep_missing` is off: then it counts in the
     first round only).
 
-    The loop runs over distinct state combinations and only shrinks, so it ends; each round is
-    written out. The rows themselves are filtered once, at the end."""
+    The loop runs over the distinct state combinations that the first round leaves, and writes only
+    the states that each round loses; it ends when none is lost. The rows themselves are filtered
+    once, at the end."""
     own = state_cols[0]
-    spark = df.sparkSession
-    sentinel = spark.range(1).select(F.lit(missing).alias(own))
-    combos = materialise(df.select(*state_cols).distinct())
-    states = combos.select(own).distinct().unionByName(sentinel).distinct()
-    size = None
+    sentinel = df.sparkSession.range(1).select(F.lit(missing).alias(own))
+    combos = materialise(df.select(*state_cols).distinct(), "combinations")
+    states = materialise(combos.select(own).unionByName(sentinel).distinct(), "states")
+    first = materialise(all_in(combos, state_cols, states, own), "combinations")
+    gone: DataFrame | None = None
     while True:
-        used = states
-        kept = materialise(all_in(combos, state_cols, used, own))
-        n_kept = kept.count()
-        if n_kept == size:
-            break
-        size, combos = n_kept, kept
-        states = kept.select(own).distinct()
+        alive = first
+        if gone is not None:
+            for c in state_cols:
+                alive = alive.join(gone.withColumnRenamed(own, c), [c], "left_anti")
+        left = alive.select(own)
         if keep_missing:
-            states = states.unionByName(sentinel).distinct()
-    return all_in(df, state_cols, used, own)
+            left = left.unionByName(sentinel)
+        known = states if gone is None else states.join(gone, [own], "left_anti")
+        lost = materialise(known.join(left, [own], "left_anti"), "lost_states")
+        if lost.isEmpty():
+            return all_in(df, state_cols, known, own)
+        gone = lost if gone is None else gone.unionByName(lost)
 
 
 def conform_to_states(

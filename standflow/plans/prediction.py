@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.model_apply import ModelLoader
+from ..functions.model_apply import ModelLoader, apply_model
 from ..operators import model_io as mio
 
 
@@ -43,12 +43,11 @@ def predict_grid(
         "starting_state", "hist_state1_id", "hist_state2_id", "hist_state3_id", *times,
         *site_cols, "climate",
     ]
-    scored = mio.batch_score(
-        crossed, load_model, inputs, n_states,
-        drop=[c for c in inputs if c != "starting_state"], dtype=dtype,
-    )
-    states = mio.top_k_predictions(scored, "p_state", "pred_state", "state_proba", k)
-    both = mio.top_k_predictions(states, "p_time", "time_index", "time_proba", k, base=1)
-    return mio.decode_states(
-        both.drop("p_state", "p_time"), lookup, [f"pred_state_{j}" for j in range(1, k + 1)]
+    # only the k best classes of each head leave the batch
+    scored = apply_model(
+        crossed, load_model, inputs, {"p_state": n_states, "p_time": mio.N_TIMES},
+        drop=[c for c in inputs if c != "starting_state"], dtype=dtype, best=k,
     )
+    states = mio.spread_best(scored, "p_state", "pred_state", "state_proba", k)
+    both = mio.spread_best(states, "p_time", "time_index", "time_proba", k, base=1)
+    return mio.decode_states(both, lookup, [f"pred_state_{j}" for j in range(1, k + 1)])
