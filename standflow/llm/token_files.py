@@ -59,8 +59,7 @@ class LibraryEncoder(PieceEncoder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # pieces are plain text
-        self.whole = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         # byte-level vocabularies write each byte as one character
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -74,7 +73,9 @@ class LibraryEncoder(PieceEncoder):
             has_added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         for i, ids in enumerate(super().encode(texts)):
             if has_added[i]:
-                encoded = self.whole.encode(texts[i].as_py(), add_special_tokens=False)
+                self.tokenizer.encode_special_tokens = False
+                encoded = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False)
+                self.tokenizer.encode_special_tokens = True
                 ids = np.array(encoded.ids, self.dtype)
             yield ids
 
