@@ -10,7 +10,7 @@ number of rows grows with the fingerprints and not with the pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -236,7 +236,22 @@ def keep_one_of_each(
     Where several rows of a component have that id, the smallest row (by its columns) stays. Rows
     of one id in different components are told apart by their fingerprints. A row without an id
     stays only if no row of its component has one."""
-    grouped = _components(docs, id_col, text_col, shingle, distance, blocks, tile)
+    return keep_firsts(
+        docs,
+        _components(docs, id_col, text_col, shingle, distance, blocks, tile),
+        lambda rows, id: _prints(rows, id, text_col, shingle),
+        id_col,
+    )
+
+
+def keep_firsts(
+    docs: DataFrame,
+    grouped: DataFrame,
+    prints: Callable[[DataFrame, Column], DataFrame],
+    id_col: str,
+) -> DataFrame:
+    """The rows to keep by `grouped` (id, fp, component_id, root); `prints` gives (id, fp) of rows,
+    where id is any column."""
     first = F.col("id").eqNullSafe(F.col("component_id"))
     ids = (
         grouped.groupBy(F.col("id").alias("__id"))
@@ -246,8 +261,8 @@ def keep_one_of_each(
     rows = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["__id"]))
     single = rows.where("__n = 1").select(*docs.columns)
     # of an id that several rows have, the fingerprint tells which row is which
-    shared = _prints(
-        rows.where("__n > 1").select(*docs.columns), F.struct(*docs.columns), text_col, shingle
+    shared = prints(
+        rows.where("__n > 1").select(*docs.columns), F.struct(*docs.columns)
     ).select(F.col("id").alias("__row"), "fp", F.col("id")[id_col].cast("long").alias("id"))
     firsts = grouped.where(first).join(
         ids.where("__n > 1"), F.col("id").eqNullSafe(F.col("__id"))
