@@ -9,6 +9,9 @@ so that edits in front of an anchor cost nothing; an anchor that agrees with a w
 steps of any repetition gives a candidate place, and the exact edit distance (in words, bit-parallel)
 of the item to the text around it decides. The tests measure the recall at all
 distances allowed.
+
+Items of fewer than 20 words have too few anchors for that. They are cut into one piece more than
+edits are allowed, of which one at least is left as it was: all of their occurrences are found.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ REPETITIONS = 8
 STEPS = 14
 SAMPLED = 4
 STRIDE = 3  # words between the anchors of an item
+WALKED = 20  # words of an item from which walks find it
 BLOCK_BYTES = 16 << 20  # of benchmark text per pass over the documents
 SEED = 20240229
 _TO_SPACE = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -89,12 +93,19 @@ class Matcher:
         ]
         anchors, words = [], []  # (item, word of the item), all words after each other
         self.short: dict[bytes, list[tuple[int, int]]] = {}
+        pieces: dict[int, list[tuple[int, int]]] = {}  # by length: (item, word of the item)
         for n, (_, w) in enumerate(self.items):
             # too short for a walk: every word is an anchor by itself
             if len(w) < STEPS:
                 for at, word in enumerate(w):
                     self.short.setdefault(word, []).append((n, at))
                 continue
+            if len(w) < WALKED:
+                count = self.allowed[n] + 1
+                edges = [len(w) * i // count for i in range(count + 1)]
+                for a, b in zip(edges, edges[1:]):
+                    pieces.setdefault(b - a, []).append((n, a))
+                continue
             anchors += [(n, at, len(words) + at) for at in range(0, len(w) - STEPS + 1, STRIDE)]
             words += w
         self.anchors = np.array(anchors, dtype=np.int64).reshape(-1, 3)
@@ -112,6 +123,26 @@ class Matcher:
             order = np.argsort(keys, kind="stable") if keys is not None else at
             self.tables.append((filters, keys[order] if keys is not None else keys, order))
 
+        self.pieces = []
+        for size, each in pieces.items():
+            parts = [self.items[n][1][a : a + size] for n, a in each]
+            symbols = _symbols([w for part in parts for w in part])
+            at = np.arange(len(parts)) * size
+            keys = self._piece_keys(symbols, at, size)
+            order = np.argsort(keys, kind="stable")
+            filters = []
+            for x in (symbols[at], keys):
+                filters.append(np.zeros(_TABLE, dtype=bool))
+                filters[-1][(x & np.uint64(_TABLE - 1)).astype(np.int64)] = True
+            self.pieces.append((size, *filters, keys[order], [each[i] for i in order]))
+
+    @staticmethod
+    def _piece_keys(symbols: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        keys = np.zeros(len(at), dtype=np.uint64)
+        for step in range(size):
+            keys = _mix(keys ^ symbols[at + step])
+        return keys
+
     def _walk(self, symbols: np.ndarray, start: np.ndarray, r: int, filters=None) -> Iterator:
         """Walks from the starts: after each sampled step, (the starts, keys so far). With filters,
         walks that cannot be an item's any more are left."""
@@ -133,6 +164,15 @@ class Matcher:
     def places(self, symbols: np.ndarray) -> set[tuple[int, int]]:
         """(item, word where it would begin) of the candidates."""
         found: set[tuple[int, int]] = set()
+        for size, first, whole, keys, places in self.pieces:
+            at = np.flatnonzero(first[(symbols & np.uint64(_TABLE - 1)).astype(np.int64)])
+            at = at[at + size <= len(symbols)]
+            key = self._piece_keys(symbols, at, size)
+            go = whole[(key & np.uint64(_TABLE - 1)).astype(np.int64)]
+            at, key = at[go], key[go]
+            low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            for s, a, b in zip(at.tolist(), low.tolist(), high.tolist()):
+                found.update((n, s - offset) for n, offset in places[a:b])
         begin = np.flatnonzero(self.begins[(symbols & np.uint64(_TABLE - 1)).astype(np.int64)])
         symbols = np.append(symbols, np.zeros(STEPS, np.uint64))
         for r, (filters, keys, order) in enumerate(self.tables if len(self.anchors) else ()):

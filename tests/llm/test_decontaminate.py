@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from standflow.llm import decontaminate as dc
 
 SCHEMA = "doc_id long, text string, item_id long"
@@ -113,3 +115,32 @@ def test_empty_tables(spark):
     assert dc.find_benchmark_items(none, bench).collect() == []
     df = spark.createDataFrame(docs, SCHEMA)
     assert dc.find_benchmark_items(df, bench.limit(0)).collect() == []
+
+
+def recall(length, edits, seed=0, trials=120):
+    r = random.Random(f"{length} {edits} {seed}")
+    words = ["".join(r.choices("abcdefg", k=6)) for _ in range(3000)]
+    hits = 0
+    for _ in range(trials):
+        item = r.sample(words, length)
+        copy = list(item)
+        for at in r.sample(range(length), edits):
+            copy[at] = r.choice(["", r.choice(words), copy[at] + " " + r.choice(words)])
+        text = " ".join([*r.choices(words, k=9), *copy, *r.choices(words, k=9)])
+        hits += bool([*dc.Matcher([(1, " ".join(item))], dc.SIMILARITY).find(["x", text, "y"])])
+    return hits / trials
+
+
+@pytest.mark.parametrize("length", range(12, 31))
+def test_recall_by_length_of_item_at_the_most_edits(length):
+    got = recall(length, length // 5)
+    assert got == 1 if length < 20 else got > 0.94, got
+
+
+@pytest.mark.parametrize("length", range(14, 20))
+def test_a_short_item_is_found_without_its_first_words(length):
+    item = [f"word{i}" for i in range(length)]
+    for begin in (["other"] + item[1:], item[1:], item[2:], ["a", "b"] + item[2:]):
+        for text in (begin, ["x"] * 5 + begin + ["y"] * 5):
+            found = dc.Matcher([(1, " ".join(item))], dc.SIMILARITY).find(["z z", " ".join(text), "z"])
+            assert [x[0] for x in found] == [1]
