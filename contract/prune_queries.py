@@ -207,6 +207,17 @@ def _(spark, d):
     return pr.orphan_states(examples(spark, d).where(F.col("svd_state").startswith("PIAB")))
 
 
+@query("orphan_states_all", """
+    SELECT "column", state FROM (
+      SELECT DISTINCT unnest(['target_state', 'hist_state1', 'hist_state2', 'hist_state3'])
+             AS "column",
+             unnest([target_state, hist_state1, hist_state2, hist_state3]) AS state
+      FROM {t_examples}) u
+    WHERE state NOT IN (SELECT svd_state FROM {t_examples})""")
+def _(spark, d):
+    return pr.orphan_states(examples(spark, d))
+
+
 @query("prune_examples", f"""
     {_CODES}, near AS ({_NEAR}), frequent AS ({_FREQUENT}), {_rounds("frequent", 6)}
     SELECT {_EXAMPLE_COLS}, round(dist, 6) AS dist FROM r5
