@@ -22,7 +22,7 @@ STOP_WORDS = (
 
 # metric, its least and its largest value (None: no bound). A document fails outside.
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
-    ("n_words", 20, 200_000),
+    ("n_words", 20, None),
     ("repeat_ratio", None, 0.3),
     ("mean_word_length", 2, 15),
     ("symbol_ratio", None, 0.1),
