@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes covered by a string that also starts earlier, by deep-shallow sorting.
 
 Candidate suffixes start at the minimisers of repeated super-k-mers (see `passages`). Each bucket
-sorts them deep-shallow: a multikey quicksort, eight bytes at a time, down to `SHALLOW` bytes; what
+sorts them deep-shallow: a library sort, a column of eight bytes at a time, down to `SHALLOW` bytes; what
 is still equal there goes into blind tries, which find a place with one comparison per suffix. The
 text before each minimiser is sorted alike, backwards. Two windows with the minimiser at offset o
 are equal if the suffixes share `window - o` bytes and the texts before share o, so the sorted
