@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat, decontaminate, lexical_search, licenses, quality, secrets, simhash, token_files,
+    bpe, chat, decontaminate, lexical_search, licenses, packing, quality, secrets, simhash,
+    token_files,
 )
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_substrings
@@ -118,6 +119,14 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(
+        packing.pack_documents(
+            table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1
+        )
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,7 +137,7 @@ def queries() -> dict[str, Query]:
     ops = (
         op1_simhash, op2_suffix_dedup, op3_bpe, op4_substring_dedup, op5_licenses,
         op6_decontaminate, op7_quality, op8_chat, op9_secrets, op10_token_files,
-        op11_ranked_search, pipeline,
+        op11_ranked_search, op12_packing, pipeline,
     )
     return {f.__name__: f for f in ops}
 
