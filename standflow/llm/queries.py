@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat, decontaminate, lexical_search, licenses, packing, quality, secrets, simhash,
-    token_files,
+    bpe, chat, conversations, decontaminate, lexical_search, licenses, packing, quality,
+    secrets, simhash, token_files,
 )
 from .substring_dedup import remove_repeated_windows
 from .suffix_dedup import remove_repeated_substrings
@@ -127,6 +127,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.report_all(turns, conversations.damage(turns))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,7 +142,7 @@ def queries() -> dict[str, Query]:
     ops = (
         op1_simhash, op2_suffix_dedup, op3_bpe, op4_substring_dedup, op5_licenses,
         op6_decontaminate, op7_quality, op8_chat, op9_secrets, op10_token_files,
-        op11_ranked_search, op12_packing, pipeline,
+        op11_ranked_search, op12_packing, op13_turn_repair, pipeline,
     )
     return {f.__name__: f for f in ops}
 
