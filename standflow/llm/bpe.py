@@ -3,16 +3,20 @@
 The merges of a rank file are compiled, on demand, into a deterministic machine over bytes. The
 encoding of a prefix ends in one token only: the longest that is compatible with the token before
 it (two tokens are compatible if their joined bytes encode to just these two). A state of the
-machine holds, for each place in the text from which some token can still grow, the bytes since
-and the tokens up to there; tokens that all of these agree on are certain and are emitted, so the
-lookahead never exceeds the longest token. States and transitions are made when first met and
-forgotten when there are too many; until a move has been met a few times, texts that need
-it go through the undeterminised machine, as lazy automata do.
+machine holds, for each place in the text from which some token can still grow, how far it has
+grown and the tokens up to there; tokens that all of these agree on are certain and are emitted, so
+the lookahead never exceeds the longest token. States and moves are made when first met and
+forgotten when there are too many; every text goes through them. The token that all paths begin
+with is left out of a state once no path ends in it, as nothing is joined to it any more.
+
+A text of any length is encoded piece by piece between spaces; what is kept between texts (machine,
+known pre-tokens, known pairs) is bounded.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
@@ -26,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_STATES = 200_000
-MAX_KNOWN = 600_000
-START = 0
-TOKEN = -1
-WORTH = 8  # times a move is met before it is made
+MAX_STATES = 200_000  # some 100 MB with their moves
+MAX_KNOWN = 200_000  # pre-tokens of up to MAX_KEPT characters, twice some 40 MB
+MAX_KEPT = 256
+MAX_PAIRS = 200_000
+START = ROOT = 0
 
 
 @lru_cache(maxsize=4)
@@ -45,23 +49,32 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.trie: dict = {}  # byte: node; TOKEN: the token that ends here
+        self.tokens = {r: t for t, r in ranks.items()}
+        # all beginnings of tokens: node << 8 | byte -> node
+        self.child: dict[int, int] = {}
+        self.token: list[int | None] = [None]  # that ends at a node
+        self.grows = bytearray(1)  # whether a longer token goes on from a node
         for token, rank in ranks.items():
-            node = self.trie
+            node = ROOT
             for byte in token:
-                node = node.setdefault(byte, {})
-            node[TOKEN] = rank
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.compatible = lru_cache(maxsize=1 << 20)(self._compatible)
+                self.grows[node] = 1
+                key = node << 8 | byte
+                node = self.child.get(key)
+                if node is None:
+                    node = self.child[key] = len(self.token)
+                    self.token.append(None)
+                    self.grows.append(0)
+            self.token[node] = rank
+        self.pairs: dict[tuple[int | None, int], bool] = {}
         self.halves = lru_cache(maxsize=None)(self._halves)  # one entry per token at most
         self._reset()
 
     def _reset(self) -> None:
-        start = ((b"", (None,)),)
+        start = ((ROOT, (None,)),)
         self.numbers = {start: START}
         self.states = [start]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.asked: dict[int, int] = {}  # how often a move that is not made was met
+        # state << 8 | byte -> state after it, ids that have become certain
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def merge(self, data: bytes, parts_left: int = 1) -> list[bytes]:
         """Merge the pair of lowest rank until none, or this number of parts, is left."""
@@ -81,6 +94,14 @@ class Transducer:
         parts = self.merge(self.tokens[token], 2)
         return (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
 
+    def compatible(self, before: int | None, token: int) -> bool:
+        known = self.pairs.get((before, token))
+        if known is None:
+            if len(self.pairs) >= MAX_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[before, token] = self._compatible(before, token)
+        return known
+
     def _compatible(self, before: int | None, token: int) -> bool:
         """Whether no merge ever joins the two. Undo their merges from the last to the first, along
         the seam; the tokens at the seam join if their merge comes before the next one undone."""
@@ -102,74 +123,52 @@ class Transducer:
                 until, right = right + 1, b[0]
 
     def _make_move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        child, ends, grows = self.child, self.token, self.grows
         last, kept = None, []
-        for since, path in self.states[state]:  # from the longest
-            grown = since + bytes((byte,))
-            token = self.ranks.get(grown)
-            if last is None and token is not None and self.compatible(path[-1], token):
-                last = path + (token,)
-            if self._grows(grown):
-                kept.append((grown, path))
+        for node, path in self.states[state]:  # from the longest
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if last is None:
+                token = ends[node]
+                if token is not None and self.compatible(path[-1], token):
+                    last = path + (token,)
+            if grows[node]:
+                kept.append((node, path))
         assert last is not None, "no token for this byte"
-        paths = [p for _, p in kept] + [last]
-        certain = 0
-        while all(len(p) > certain + 1 for p in paths) and (
-            len({p[certain + 1] for p in paths}) == 1
-        ):
-            certain += 1
-        new = tuple((s, p[certain:]) for s, p in [*kept, (b"", last)])
+        certain = self._agreed(last, kept)
+        kept.append((ROOT, last))
+        if certain:
+            kept = [(node, path[certain:]) for node, path in kept]
+        if kept[-1][1][0] is not None and all(len(path) > 1 for _, path in kept):
+            # nothing will be joined to the first token of all any more
+            kept = [(node, (None, *path[1:])) for node, path in kept]
+        new = tuple(kept)
         number = self.numbers.get(new)
         if number is None:
             number = self.numbers[new] = len(self.states)
             self.states.append(new)
-            self.moves.append({})
-        move = self.moves[state][byte] = (number, last[1 : certain + 1])
+        move = self.moves[state << 8 | byte] = (number, last[1 : certain + 1])
         return move
 
-    def _grows(self, data: bytes) -> bool:
-        """Whether some longer token begins with these bytes."""
-        node = self.trie
-        for byte in data:
-            node = node.get(byte)
-            if node is None:
-                return False
-        return len(node) > (TOKEN in node)
-
-    def _simulate(self, data: bytes) -> list[int]:
-        """The machine without its determinised states: all places a token can grow from."""
-        root, compatible = self.trie, self.compatible
-        last: list[int | None] = [None] * (len(data) + 1)  # the token that ends at each place
-        open_ = []
-        for at, byte in enumerate(data):
-            open_.append((root, at))
-            found, still = None, []
-            for node, start in open_:  # from the longest
-                node = node.get(byte)
-                if node is not None:
-                    still.append((node, start))
-                    if found is None:
-                        token = node.get(TOKEN)
-                        if token is not None and compatible(last[start], token):
-                            found = token
-            last[at + 1] = found
-            open_ = still
-        out, stop = [], len(data)
-        while stop:
-            out.append(last[stop])
-            stop -= len(self.tokens[last[stop]])
-        return out[::-1]
+    @staticmethod
+    def _agreed(last: tuple, kept: list) -> int:
+        """How many tokens after the first all paths have in common."""
+        certain = 0
+        for token in last[1:]:
+            for _, path in kept:
+                if len(path) <= certain + 1 or path[certain + 1] != token:
+                    return certain
+            certain += 1
+        return certain
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES or len(self.asked) > 4 * MAX_STATES:
+        if len(self.states) > MAX_STATES:
             self._reset()
-        moves, state, out = self.moves, START, []
+        known, state, out = self.moves.get, START, []
         for byte in data:
-            move = moves[state].get(byte)
+            move = known(state << 8 | byte)
             if move is None:
-                asked = state << 8 | byte
-                self.asked[asked] = times = self.asked.get(asked, 0) + 1
-                if times < WORTH:
-                    return self._simulate(data)
                 move = self._make_move(state, byte)
             state, emitted = move
             if emitted:
@@ -195,27 +194,32 @@ def split_at_spaces(text: str) -> tuple[str, list[str]]:
 class PieceEncoder:
     """Texts to arrays of ids, each different piece and pre-token once.
 
-    `learn(pre_tokens)` gives the ids of each, as bytes of `dtype`. Known pre-tokens are forgotten
-    when there are too many."""
+    `learn(pre_tokens)` gives the ids of each, as bytes of `dtype`. Of two generations of known
+    pre-tokens the older one is forgotten when the younger is full; what is met again is young."""
 
     def __init__(self, pattern: str, dtype: str):
         self.find, self.dtype = regex.compile(pattern).findall, np.dtype(dtype)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, pre_tokens: list[str]) -> Iterable[bytes]:
         raise NotImplementedError
 
     def _ids(self, parts: list[list[str] | tuple[str, ...]]) -> list[bytes]:
-        new = set(chain.from_iterable(parts)).difference(self.known)
-        if len(self.known) + len(new) > MAX_KNOWN:
-            self.known.clear()
-            new = set(chain.from_iterable(parts))
-        new = list(new)
-        self.known.update(zip(new, self.learn(new)))
-        known = self.known
-        return [
-            known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts
-        ]
+        wanted = set(chain.from_iterable(parts))
+        new = wanted.difference(self.known)
+        if new and len(self.known) + len(new) > MAX_KNOWN:
+            self.known, self.older, new = {}, self.known, wanted
+        known, older = self.known, self.older
+        again = new.intersection(older)
+        known.update((p, older[p]) for p in again)
+        new = sorted(new - again)  # equal beginnings share their moves
+        known.update(zip(new, self.learn(new)))
+        ids = [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in parts]
+        for p in new:
+            if len(p) > MAX_KEPT:
+                del known[p]
+        return ids
 
     def _after_space(self, pieces: list[str]) -> list[bytes]:
         """Ids of the pieces, each with the space before it."""
@@ -317,14 +321,14 @@ class Decoder:
         self.tokens = {r: t for t, r in ranks.items()}
         self.chunk = chunk
 
-    def stream(self, ids: list[int]) -> Iterator[str]:
+    def stream(self, ids: np.ndarray) -> Iterator[str]:
         stream, token = Utf8Stream(), self.tokens.__getitem__
         for at in range(0, len(ids), self.chunk):
-            yield stream.push(b"".join(map(token, ids[at : at + self.chunk])))
+            yield stream.push(b"".join(map(token, ids[at : at + self.chunk].tolist())))
         stream.close()
 
     def decode(self, ids: list[int]) -> str:
-        return "".join(self.stream(ids))
+        return "".join(self.stream(np.array(ids, np.int64)))
 
 
 def small_batches(
@@ -383,26 +387,68 @@ def _with_column(docs, source: str, name: str, kind: str, load) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _round_trips(
+    encoder: Encoder, decoder: Decoder, texts: pa.Array
+) -> Iterator[tuple[np.ndarray, str]]:
+    """Ids of each text, and the SHA-256 of what they decode to."""
+    for ids in encoder.encode(texts):
+        decoded = hashlib.sha256()
+        for s in decoder.stream(ids):
+            decoded.update(s.encode())
+        yield ids, decoded.hexdigest()
+
+
+def encode_checked(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text"
+) -> DataFrame:
+    """All columns but the text, `ids` (array<int>) of the whole text, and `decoded_sha256` of what
+    they decode to, in one pass of one Python worker. Columns of these names are replaced; null
+    text: no ids; rows of equal or null id are rows of their own."""
+    docs = docs.drop("ids", "decoded_sha256")
+    rest = [c for c in docs.columns if c != text_col]
+    kept = docs.select(*rest, text_col)
+    added = "ids array<int>, decoded_sha256 string"
+    schema = T.StructType([
+        *kept.schema.fields[:-1], *docs.sparkSession.createDataFrame([], added).schema.fields
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = load_ranks(ranks_path)
+        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
+        for part in small_batches(batches, 2 << 20):
+            ids, digests = [], []
+            for i, d in _round_trips(encoder, decoder, part.column(len(rest))):
+                ids.append(i)
+                digests.append(d)
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *part.columns[:-1],
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())),
+                    pa.array(digests, pa.string()),
+                ],
+                names=[*rest, "ids", "decoded_sha256"],
+            )
+
+    return kept.mapInArrow(run, schema)
+
+
 def round_trip(
     docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Encode each whole text, decode the ids again, and return id, n_tokens, the SHA-256 of the
     decimal ids joined by one space and that of the decoded bytes, in one pass. Null text: empty.
     Rows of equal or null id are rows of their own; empty table: no rows."""
-    import hashlib
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(ranks_path)
         encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
         decimal = {i: str(i) for i in ranks.values()}.__getitem__
         for batch in small_batches(batches):
             rows = []
-            for ids in map(np.ndarray.tolist, encoder.encode(batch.column(1))):
-                decoded = hashlib.sha256()
-                for s in decoder.stream(ids):
-                    decoded.update(s.encode())
-                written = hashlib.sha256(" ".join(map(decimal, ids)).encode())
-                rows.append((len(ids), written.hexdigest(), decoded.hexdigest()))
+            for ids, decoded in _round_trips(encoder, decoder, batch.column(1)):
+                written = hashlib.sha256(" ".join(map(decimal, ids.tolist())).encode())
+                rows.append((len(ids), written.hexdigest(), decoded))
             n, a, b = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()),
