@@ -41,17 +41,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the whole texts, and a digest of what they decode to."""
-    ranks = public_tokenizers.path(RANKS)
-    coded = bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode_documents(coded.drop("text"), ranks)
-    return decoded.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    coded = bpe.encode_checked(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        "decoded_sha256",
+    )
 
 
 STAGES = [
