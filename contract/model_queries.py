@@ -23,36 +23,28 @@ def _(spark, d):
     return mio.train_val_split(ex, ["scenario", "uniqueID"])
 
 
-# the split of the units 0 to 5; pair_augmentation_all has all of them
-@query("pair_augmentation", f"""
-    WITH base AS (SELECT scenario, uniqueID, simulationID, Year, {_SPLIT} AS split, 0 AS augmented
-                  FROM {{b_examples}} WHERE uniqueID < 6)
-    SELECT * FROM base UNION ALL
-    SELECT scenario, uniqueID, simulationID, Year, {_SPLIT}, 1 FROM {{b_examples}}
-    WHERE target_time NOT IN (1, 10)
-      AND (scenario, uniqueID) IN (SELECT (scenario, uniqueID) FROM base)""")
-def _(spark, d):
-    return _pairs(spark, d, F.col("uniqueID") < 6)
-
-
 # all examples split, so that every augmented one has a key of the split
-@query("pair_augmentation_all", f"""
+_PAIRED = f"""
     WITH base AS (SELECT scenario, uniqueID, simulationID, Year, {_SPLIT} AS split, 0 AS augmented
                   FROM {{b_examples}})
     SELECT * FROM base UNION ALL
     SELECT scenario, uniqueID, simulationID, Year, {_SPLIT}, 1 FROM {{b_examples}}
     WHERE target_time NOT IN (1, 10)
-      AND (scenario, uniqueID) IN (SELECT (scenario, uniqueID) FROM base)""")
+      AND (scenario, uniqueID) IN (SELECT (scenario, uniqueID) FROM base)"""
+
+
+@query("pair_augmentation", _PAIRED)
+@query("pair_augmentation_all", _PAIRED)
 def _(spark, d):
-    return _pairs(spark, d, F.lit(True))
+    return _pairs(spark, d)
 
 
-def _pairs(spark, d, of_split):
+def _pairs(spark, d):
     keys = ["scenario", "uniqueID"]
     ex = enriched_examples(spark, d).select(
         *keys, "simulationID", "Year", "target_time", F.lit(0).alias("augmented")
     )
-    split = mio.train_val_split(ex.where(of_split).drop("target_time"), keys)
+    split = mio.train_val_split(ex.drop("target_time"), keys)
     aug = ex.where("target_time NOT IN (1, 10)").drop("target_time").withColumn(
         "augmented", F.lit(1)
     )

@@ -196,24 +196,17 @@ def _(spark, d):
     return pr.conform_to_states(ex, ex.where("svd_state LIKE 'PIAB%'"))
 
 
-@query("orphan_states", """
+_ORPHANS = """
     SELECT "column", state FROM (
       SELECT DISTINCT unnest(['target_state', 'hist_state1', 'hist_state2', 'hist_state3'])
              AS "column",
              unnest([target_state, hist_state1, hist_state2, hist_state3]) AS state
-      FROM {t_examples} WHERE svd_state LIKE 'PIAB%') u
-    WHERE state NOT IN (SELECT svd_state FROM {t_examples} WHERE svd_state LIKE 'PIAB%')""")
-def _(spark, d):
-    return pr.orphan_states(examples(spark, d).where(F.col("svd_state").startswith("PIAB")))
+      FROM {t_examples}) u
+    WHERE state NOT IN (SELECT svd_state FROM {t_examples})"""
 
 
-@query("orphan_states_all", """
-    SELECT "column", state FROM (
-      SELECT DISTINCT unnest(['target_state', 'hist_state1', 'hist_state2', 'hist_state3'])
-             AS "column",
-             unnest([target_state, hist_state1, hist_state2, hist_state3]) AS state
-      FROM {t_examples}) u
-    WHERE state NOT IN (SELECT svd_state FROM {t_examples})""")
+@query("orphan_states", _ORPHANS)
+@query("orphan_states_all", _ORPHANS)
 def _(spark, d):
     return pr.orphan_states(examples(spark, d))
 

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
-from ..functions.scans import BLOCK, carry, following, preceding, whole
+from ..functions.scans import (
+    BLOCK, carry, following, key_names, keyed, preceding, unkeyed, whole,
+)
 
 # Fixed values of the study.
 HORIZON = 10
@@ -27,11 +29,15 @@ _LAST, _NEXT = "__last_change", "__next_change"
 
 
 def _in_block(unit: Sequence[str], order: str):
-    return Window.partitionBy(*unit, BLOCK).orderBy(order)
+    return Window.partitionBy(*key_names(unit), BLOCK).orderBy(order)
 
 
-def _with_block(df: DataFrame, order: str, block_years: int) -> DataFrame:
-    """Adds the block, unless an earlier step has left it: then its partitioning is used again."""
+def _with_block(
+    df: DataFrame, unit: Sequence[str], order: str, block_years: int
+) -> DataFrame:
+    """Adds block and keys, unless an earlier step has left them: then its partitioning is used
+    again."""
+    df = keyed(df, unit)
     if BLOCK in df.columns:
         return df
     missing = F.raise_error(F.lit(f"{order} is null in a timeline")).cast("bigint")
@@ -44,7 +50,7 @@ def with_previous(
     """State of the row before, across block borders; null in the first row."""
     w = _in_block(unit, order)
     d = carry(
-        _with_block(df, order, block_years),
+        _with_block(df, unit, order, block_years),
         unit,
         {"__tail": F.max_by(state, order)},
         {"__prev_tail": lambda b: F.lag("__tail").over(b)},
@@ -68,7 +74,7 @@ def with_changes(
     w = _in_block(unit, order)
     up_to_here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = w.rowsBetween(1, horizon - 1)
-    d = _with_block(df, order, block_years).withColumns({
+    d = _with_block(df, unit, order, block_years).withColumns({
         "__i": F.row_number().over(w), "__lag": F.lag(state).over(w),
     })
     change = F.when(F.col(state) != F.col("__lag"), F.struct(F.col("__i"), F.col(state)))
@@ -163,7 +169,7 @@ def _flag(quiet: int) -> Column:
 
 
 def _clean(df: DataFrame) -> DataFrame:
-    return df.drop(BLOCK, _POS, _TOTAL, _PREV, _LAST, _NEXT)
+    return unkeyed(df.drop(BLOCK, _POS, _TOTAL, _PREV, _LAST, _NEXT))
 
 
 def residence_time(df, unit, order, state, block_years: int = BLOCK_YEARS) -> DataFrame:
@@ -230,7 +236,7 @@ def example_history(
         )
 
     d = carry(
-        _with_block(df, order, block_years),
+        _with_block(df, unit, order, block_years),
         unit,
         {"__latest": latest.cast("array<struct<t:bigint,s:string,r:int>>")},
         {"__before": before},
@@ -245,7 +251,7 @@ def example_history(
         d = d.withColumn(f"hist_state{k}", lagged(state, "s", k, MISSING))
     for k in range(1, n + 1):
         d = d.withColumn(f"hist_time{k}", lagged(res, "r", k, 0).cast("int"))
-    return d.drop(BLOCK, "__before", "__rn")
+    return unkeyed(d.drop(BLOCK, "__before", "__rn"))
 
 
 def augmentation_candidates(df: DataFrame, target_time: str = "target_time", drop=(1, 10)):
@@ -284,7 +290,7 @@ def flagged_examples(
     d = with_changes(df, unit, order, state, horizon, block_years)
     d = d.select(
         *df.columns,
-        *([BLOCK] if keep_block else []),
+        *([BLOCK, *key_names(unit)] if keep_block else []),
         F.coalesce(_PREV, state).alias("previous_year_state"),
         _residence().alias("residence_time"),
         _target_state(state, horizon).alias("target_state"),

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scans import BLOCK, blocked_row_number, carry, preceding, whole
+from ..functions.joins import null_safe_join
+from ..functions.scans import BLOCK, blocked_row_number, carry, key_names, preceding, whole
 from ..functions.stats import mean_ci, species_group, with_interval
 from ..session import materialise
 
@@ -180,8 +181,7 @@ def species_diff_to_center(
         *keys, F.col(value).alias("center_value"), F.col("n").alias("n_center")
     )
     return (
-        counted.where(F.col("edge") != center)
-        .join(core, list(keys), "left")
+        null_safe_join(counted.where(F.col("edge") != center), core, keys, "left")
         .groupBy(*keys, "edge", (F.col(value) - F.col("center_value")).alias("diff_to_center"))
         .agg(F.sum(F.col("n") * F.coalesce("n_center", F.lit(1))).alias("n_pairs"))
     )
@@ -211,7 +211,7 @@ def box_summary(
             "__total": lambda w: F.sum("__rows").over(whole(w)),
         },
     )
-    within = Window.partitionBy(*keys, BLOCK).orderBy(value)
+    within = Window.partitionBy(*key_names(keys), BLOCK).orderBy(value)
     d = d.withColumn("__end", F.col("__before") + F.sum("__n").over(within)).withColumn(
         "__start", F.col("__end") - F.col("__n")
     )
@@ -235,7 +235,7 @@ def box_summary(
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = (F.col(value) >= F.col("q1") - reach) & (F.col(value) <= F.col("q3") + reach)
     return (
-        counts.join(q, list(keys))
+        null_safe_join(counts, q, keys)
         .groupBy(*keys, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col(value))).alias("whisker_low"),

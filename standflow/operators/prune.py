@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import statecode as sc
 from ..functions.hashing import digest, hash_int
 from ..functions.joins import null_safe_join
-from ..functions.scans import BLOCK, blocked_row_number, carry, preceding
+from ..functions.scans import BLOCK, blocked_row_number, carry, key_names, preceding, unkeyed
 from ..session import materialise
 from .enrich import all_in
 from .examples import MISSING
@@ -79,8 +79,8 @@ def _position_ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`__start`: how many rows (copies counted) of the same cell have a smaller digest."""
     # different rows may have one digest (null and ''); their values then decide
     own = [c for c in rows.columns if not c.startswith("__")]
-    within = preceding(Window.partitionBy(*keys, BLOCK).orderBy("__digest", *own))
-    return carry(
+    within = preceding(Window.partitionBy(*key_names(keys), BLOCK).orderBy("__digest", *own))
+    ranged = carry(
         rows.withColumn(BLOCK, F.substring("__digest", 1, 3)),
         keys,
         {"__rows": F.sum("__copies")},
@@ -88,6 +88,7 @@ def _position_ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).withColumn(
         "__start", F.col("__before") + F.coalesce(F.sum("__copies").over(within), F.lit(0))
     )
+    return unkeyed(ranged)
 
 
 def distinct_states(dfs: Sequence[DataFrame], cols: Sequence[str], name: str = "state"):

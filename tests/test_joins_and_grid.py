@@ -32,8 +32,11 @@ def test_nearest_cell_is_exact(spark):
 def test_row_numbers_across_blocks(spark):
     rows = [(k, v) for k in ("a", None) for v in range(57)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(5)
-    out = blocked_row_number(df, ["k"], F.floor(F.col("v") / 10), ["v"], "n", null_safe=True)
+    out = blocked_row_number(df, ["k"], F.floor(F.col("v") / 10), ["v"], "n")
     assert all(r.n == r.v + 1 for r in out.collect()) and out.count() == 114
+    # rows without a block come first
+    early = blocked_row_number(df, ["k"], F.when(F.col("v") > 9, F.col("v")), ["v"], "n")
+    assert all(r.n == r.v + 1 for r in early.collect()) and early.columns == ["k", "v", "n"]
 
 
 def test_projection_of_known_point(spark):

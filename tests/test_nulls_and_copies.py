@@ -7,6 +7,7 @@ from standflow.functions.model_apply import dense
 from standflow.operators import examples as ex
 from standflow.operators import grid as gr
 from standflow.operators import model_io as mio
+from standflow.operators import niche
 from standflow.operators import prune as pr
 from standflow.operators import samples as sm
 
@@ -69,3 +70,20 @@ def test_missing_days_are_left_out_of_yearly_means(spark):
     rows = spark.sql(f"SELECT {days}, array(CAST(NULL AS DOUBLE)) AS vpd")
     got = sm.annual_climate_means(rows).select("MAT", "Mvpd").first()
     assert tuple(got) == (2.0, None)
+
+
+def test_null_groups_meet_their_center(spark):
+    rows = [(g, "center", 1.0) for g in ("a", None)] + [(g, "cold-dry", 2.0) for g in ("a", None)]
+    df = spark.createDataFrame(rows, "g string, edge string, csi double")
+    out = niche.species_diff_to_center(df, keys=("g",)).collect()
+    assert {(r["g"], r["diff_to_center"], r["n_pairs"]) for r in out} == {("a", 1.0, 1), (None, 1.0, 1)}
+
+
+def test_null_groups_have_a_box(spark):
+    df = spark.createDataFrame(
+        [(g, float(v)) for g in ("a", None) for v in (1, 2, 3, 50)], "g string, v double"
+    )
+    out = niche.box_summary(df, "v", ["g"]).collect()
+    assert {(r["g"], r["n"], r["median"], r["whisker_high"]) for r in out} == {
+        ("a", 4, 2.5, 3.0), (None, 4, 2.5, 3.0),
+    }
