@@ -254,25 +254,28 @@ def keep_firsts(
     where id is any column."""
     first = F.col("id").eqNullSafe(F.col("component_id"))
     ids = (
-        grouped.groupBy(F.col("id").alias("__id"))
-        .agg(F.count(F.lit(1)).alias("__n"), F.max(first).alias("__first"))
-        .where("__first")
+        grouped.groupBy(F.col("id").alias("of_id"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("is_first"))
+        .where("is_first")
     )
-    rows = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["__id"]))
-    single = rows.where("__n = 1").select(*docs.columns)
+    # a row as one column: no name of its own can meet a name of this function
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    rows = rows.join(ids, F.col("doc")[id_col].cast("long").eqNullSafe(F.col("of_id")))
+    single = rows.where("n = 1").select("doc.*")
     # of an id that several rows have, the fingerprint tells which row is which
-    shared = prints(
-        rows.where("__n > 1").select(*docs.columns), F.struct(*docs.columns)
-    ).select(F.col("id").alias("__row"), "fp", F.col("id")[id_col].cast("long").alias("id"))
+    shared = prints(rows.where("n > 1").select("doc.*"), F.struct(*docs.columns)).select(
+        F.col("id").alias("doc"), "fp", F.col("id")[id_col].cast("long").alias("doc_id")
+    )
     firsts = grouped.where(first).join(
-        ids.where("__n > 1"), F.col("id").eqNullSafe(F.col("__id"))
-    ).select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "root").distinct()
+        ids.where("n > 1"), F.col("id").eqNullSafe(F.col("of_id"))
+    ).select("of_id", F.col("fp").alias("of_fp"), "root").distinct()
     several = (
         shared.join(
-            firsts, (F.col("fp") == F.col("__fp")) & F.col("id").eqNullSafe(F.col("__id"))
+            firsts,
+            (F.col("fp") == F.col("of_fp")) & F.col("doc_id").eqNullSafe(F.col("of_id")),
         )
-        .groupBy("__id", "root")
-        .agg(F.min("__row").alias("__row"))
-        .select("__row.*")
+        .groupBy("of_id", "root")
+        .agg(F.min("doc").alias("doc"))
+        .select("doc.*")
     )
     return single.unionByName(several)

@@ -35,6 +35,10 @@ def corpus():
             text[at:at] = ["password=hunter22x", "é😀", "0123456789abcdef01234567"]
         texts.append(" ".join(text) + r.choice([".", "!\n", ""]))
     texts += [texts[20]] * 3 + [texts[21].upper().replace(" ", "  "), "repeat this line of the text\n" * 30]
+    for i in (23, 27, 31, 35):  # edited copies: some are three bits away, some more
+        edited = texts[i].split(" ")
+        edited[len(edited) // 2] = "edit"
+        texts.append(" ".join(edited))
     docs = [(7 * i % 1009, t, "en", "web", len(t or "")) for i, t in enumerate(texts)]
     docs += [docs[30], (docs[31][0], texts[32], None, None, None), (None, texts[33], "de", "x", 1)]
     return docs, items
@@ -87,6 +91,7 @@ def test_rows_of_the_pipeline(spark, tmp_path):
     assert sorted(got, key=key) == sorted(want, key=key)
     # every stage had something to do
     assert len(docs) > n_good > n_kept > len(want) > 10
+    assert n_good - n_kept > 8  # exact and edited copies
     mask = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))[b"SEC"]
     assert any(mask in x[4] for x in got)
 
