@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standflow.llm import bpe, decontaminate, near_copies, quality, secrets
+from standflow.llm import bpe, decontaminate, quality, secrets, simhash
 from standflow.llm.queries import RANKS, table
 from standflow.session import materialise
 
@@ -23,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or
-    more) stays: that of the smallest id."""
-    return near_copies.keep_one_of_near_copies(docs)
+    """One document of each group of near copies stays, that of the smallest id: word shingles of
+    three, fingerprints linked at three differing bits or fewer."""
+    return simhash.keep_one_of_each(docs, shingle=3, distance=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
