@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -40,32 +40,105 @@ def attach_to_grid(
     return grid.join(result.dropna(), ["point_id"], "left")
 
 
+# widens the cells of an edge by more than its crossings can be off, in cells
+_SLACK = 1e-6
+_ENDS = ("x1", "y1", "x2", "y2")
+
+
+def outline_cells(edges: DataFrame, side: float = 1.0) -> DataFrame:
+    """(poly_id, __cx, __cy, __base, __edges, __ends): the cells of a square grid in which a point
+    may be inside a closed outline, and what is needed to tell.
+
+    A ray to the right of a point crosses edges that touch the point's cell (`__edges`) and edges
+    wholly to the right of the cell. An edge crosses height y if one of its ends lies above y, so of
+    the latter only the ends count: those above the whole row of cells make `__base`; those within
+    the row are ends of two edges and cancel, but where only one of the two is to the right of
+    the cell (`__ends`). A cell without edges is inside throughout, or left out."""
+    low, high, row = F.least("y1", "y2"), F.greatest("y1", "y2"), F.col("__cy")
+    slope = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    clipped = [
+        F.col("x1") + (y - F.col("y1")) * slope
+        for y in (F.greatest(low, row * side), F.least(high, (row + 1) * side))
+    ]
+    parts = (
+        edges.select("poly_id", *[F.col(c).cast("double").alias(c) for c in _ENDS])
+        .where(F.col("y1") != F.col("y2"))
+        .withColumn("__cy", F.explode(F.sequence(F.floor(low / side), F.floor(high / side))))
+        .withColumn("__from", F.floor(F.least(*clipped) / side - _SLACK))
+        .withColumn("__to", F.floor(F.greatest(*clipped) / side + _SLACK))
+    )
+    of_row = ["poly_id", "__cy"]
+    at = [*of_row, "__cx"]
+    above = sum([(F.floor(F.col(c) / side) > row).cast("int") for c in ("y1", "y2")], F.lit(0))
+
+    touched = parts.withColumn("__cx", F.explode(F.sequence("__from", "__to"))).select(
+        *at, F.when(F.col("__cx") == F.col("__from"), above % 2).otherwise(0).alias("__weight"),
+        F.struct(*_ENDS).alias("__edge"), F.lit(None).cast("double").alias("__end"),
+    )
+    # an end within the row counts to the left of one of its edges, but not of the other
+    ends = (
+        parts.withColumn("__end", F.explode(F.array("y1", "y2")))
+        .where(F.floor(F.col("__end") / side) == row)
+        .groupBy(*of_row, "__end")
+        .agg(F.sort_array(F.collect_list("__from"), asc=False).alias("f"))
+    )
+    pair = F.explode(F.sequence(F.lit(0), F.floor(F.size("f") / 2).cast("int") - 1))
+    alone = (
+        ends.where(F.size("f") > 1)
+        .select(*of_row, "__end", "f", pair.alias("i"))
+        .select(
+            *of_row, "__end",
+            F.get("f", F.col("i") * 2 + 1).alias("a"), F.get("f", F.col("i") * 2).alias("b"),
+        )
+        .where(F.col("a") < F.col("b"))
+        .withColumn("__cx", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))
+        .select(*at, F.lit(0).alias("__weight"), F.lit(None).cast(
+            "struct<x1:double,y1:double,x2:double,y2:double>").alias("__edge"), "__end")
+    )
+    facts = touched.unionByName(alone).groupBy(*at).agg(
+        F.sum("__weight").alias("__weight"),
+        F.collect_list("__edge").alias("__edges"), F.collect_list("__end").alias("__ends"),
+    )
+    # the weights to the right, and the cells without facts up to the next one on the right
+    to_right = Window.partitionBy(*of_row).orderBy(F.desc("__cx"))
+    known = facts.withColumns({
+        "__base": F.coalesce(F.sum("__weight").over(to_right.rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0)) % 2,
+        "__next": F.lag("__cx").over(to_right),
+    })
+    gap = known.where((F.col("__base") == 1) & (F.col("__next") > F.col("__cx") + 1))
+    inside = gap.withColumn(
+        "__cx", F.explode(F.sequence(F.col("__cx") + 1, F.col("__next") - 1))
+    ).withColumns({"__edges": F.slice("__edges", 1, 0), "__ends": F.slice("__ends", 1, 0)})
+    return known.unionByName(inside).select(*at, "__base", "__edges", "__ends")
+
+
 def point_in_polygon(
     points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", band: float = 1.0
 ) -> DataFrame:
-    """(points, poly_id) for points inside an outline; equal points are counted once and given as
-    often as they occur.
-
-    A ray to the right of each point is crossed an odd number of times. Points and edges meet
-    in horizontal bands of height `band`, so a point only sees edges at its own height."""
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.where(F.col("y1") != F.col("y2")).withColumn(
-        "__band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band)))
+    """(points, poly_id) for points inside a closed outline, as often as they occur.
+
+    A ray to the right of each point is crossed an odd number of times. Points meet the cells
+    of side `band` that the outlines touch or hold (`outline_cells`), so a point only sees the edges
+    of its own cell, and every pair of point and outline is settled in one row."""
+    cells = outline_cells(edges, band)
+    p = points.withColumns({
+        "__cx": F.floor(F.col(x) / band), "__cy": F.floor(F.col(y) / band),
+    })
+
+    def crossed(e: Column) -> Column:
+        at = (e["x2"] - e["x1"]) * (F.col(y) - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
+        return ((e["y1"] > F.col(y)) != (e["y2"] > F.col(y))) & (F.col(x) < at)
+
+    crossings = (
+        F.col("__base")
+        + F.size(F.filter("__ends", lambda end: end > F.col(y)))
+        + F.size(F.filter("__edges", crossed))
     )
-    p = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("__copies"))
-    p = p.withColumn("__band", F.floor(F.col(y) / band))
-    spans = (F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))
-    at = (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) / (
-        F.col("y2") - F.col("y1")
-    ) + F.col("x1")
     return (
-        p.join(banded, ["__band"])
-        .where(spans & (F.col(x) < at))
-        .groupBy(*points.columns, "__copies", "poly_id")
-        .agg(F.count(F.lit(1)).alias("__crossings"))
-        .where(F.col("__crossings") % 2 == 1)
-        .withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*points.columns, "poly_id")
+        p.join(cells, ["__cx", "__cy"])
+        .where(crossings % 2 == 1)
+        .select(*[p[c] for c in points.columns], "poly_id")
     )
 
 
