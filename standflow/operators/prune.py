@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import statecode as sc
 from ..functions.hashing import digest, hash_int
 from ..functions.joins import null_safe_join
 from ..functions.scans import BLOCK, blocked_row_number, carry, key_names, preceding, unkeyed
-from ..session import materialise
+from ..session import materialise, scratch_path
 from .enrich import all_in
 from .examples import MISSING
 
@@ -23,6 +23,9 @@ GROUP_CAP = 100_000
 MAX_DISTANCE = 0.9
 MIN_COUNT = 10
 
+# Folders the state combinations are kept in, by the states they use.
+STATE_BUCKETS = 64
+
 # Pieces the positions of a cell are cut into, to look up draws by equality.
 RANGE_PIECES = 4096
 
@@ -215,28 +218,70 @@ def closed_state_set(
     first state column (and the sentinel, unless `keep_missing` is off: then it counts in the
     first round only).
 
-    The loop runs over the distinct state combinations that the first round leaves, and writes only
-    the states that each round loses; it ends when none is lost. The rows themselves are filtered
-    once, at the end."""
+    The distinct state combinations that the first round leaves are written once, by the states
+    they use. A round takes the states lost in the round before, reads the buckets of these
+    states, and finds the combinations that fall with them; a state is lost when the last
+    combination that begins with it has fallen. The rows themselves are filtered once, at the end."""
     own = state_cols[0]
-    sentinel = df.sparkSession.range(1).select(F.lit(missing).alias(own))
+    spark = df.sparkSession
+    sentinel = spark.range(1).select(F.lit(missing).alias(own))
     combos = materialise(df.select(*state_cols).distinct(), "combinations")
     states = materialise(combos.select(own).unionByName(sentinel).distinct(), "states")
-    first = materialise(all_in(combos, state_cols, states, own), "combinations")
-    gone: DataFrame | None = None
-    while True:
-        alive = first
-        if gone is not None:
-            for c in state_cols:
-                alive = alive.join(gone.withColumnRenamed(own, c), [c], "left_anti")
-        left = alive.select(own)
-        if keep_missing:
-            left = left.unionByName(sentinel)
-        known = states if gone is None else states.join(gone, [own], "left_anti")
-        lost = materialise(known.join(left, [own], "left_anti"), "lost_states")
-        if lost.isEmpty():
-            return all_in(df, state_cols, known, own)
-        gone = lost if gone is None else gone.unionByName(lost)
+    first = materialise(
+        all_in(combos, state_cols, states, own).withColumn(
+            "__id", F.monotonically_increasing_id()
+        ),
+        "combinations",
+    )
+    uses = _by_state(first, state_cols, own)
+    support = materialise(first.groupBy(own).agg(F.count(F.lit(1)).alias("__n")), "support")
+
+    lasting = F.lit(keep_missing) & (F.col(own) == missing)
+    lost = materialise(
+        states.join(support, [own], "left_anti").where(~lasting), "lost_states"
+    )
+    all_lost, fallen = lost, None
+    while not lost.isEmpty():
+        hit = _users(uses, lost, own).select("__id", own).distinct()
+        if fallen is not None:
+            hit = hit.join(fallen.select("__id"), ["__id"], "left_anti")
+        newly = materialise(hit, "fallen")
+        fallen = newly if fallen is None else fallen.unionByName(newly)
+        gone = fallen.join(newly.select(own).distinct(), [own], "left_semi")
+        gone = gone.groupBy(own).agg(F.count(F.lit(1)).alias("__gone"))
+        lost = materialise(
+            support.join(gone, [own])
+            .where(F.col("__gone") == F.col("__n"))
+            .select(own)
+            .where(~lasting)
+            .join(all_lost, [own], "left_anti"),
+            "lost_states",
+        )
+        all_lost = all_lost.unionByName(lost)
+    return all_in(df, state_cols, states.join(all_lost, [own], "left_anti"), own)
+
+
+def _bucket(state: str) -> Column:
+    return F.pmod(F.xxhash64(state), F.lit(STATE_BUCKETS)).cast("int")
+
+
+def _by_state(combos: DataFrame, state_cols: Sequence[str], own: str) -> DataFrame:
+    """(__state, __id, first state) for each state a combination uses, in folders by state bucket."""
+    used = combos.select(
+        F.explode(F.array_distinct(F.array(*state_cols))).alias("__state"), "__id", own
+    ).withColumn("__bucket", _bucket("__state"))
+    path = scratch_path(combos.sparkSession, "uses")
+    used.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(path)
+    return combos.sparkSession.read.schema(used.schema).parquet(path)
+
+
+def _users(uses: DataFrame, lost: DataFrame, own: str) -> DataFrame:
+    """The uses of lost states; only their buckets are read (at most STATE_BUCKETS numbers pass
+    through the driver)."""
+    buckets = [r["b"] for r in lost.select(_bucket(own).alias("b")).distinct().collect()]
+    return uses.where(F.col("__bucket").isin(buckets)).join(
+        lost.withColumnRenamed(own, "__state"), ["__state"], "left_semi"
+    )
 
 
 def conform_to_states(

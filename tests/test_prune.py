@@ -85,6 +85,27 @@ def test_closed_state_set(spark, keep_missing):
     assert all(r[0] in "XYZ" for r in got)
 
 
+def test_rounds_read_only_users_of_lost_states(spark, monkeypatch):
+    """One state falls after the other along a chain; each round reads a bucket or two."""
+    rows = [(f"C{i}", f"C{i + 1}", "missing", "missing", "missing") for i in range(6)]
+    rows += [(f"S{i}", f"S{(i + 7) % 400}", "missing", "missing", "missing") for i in range(400)]
+    df = spark.createDataFrame(rows, list(pr.STATE_COLUMNS))
+    read, users = [], pr._users
+
+    def counted(uses, lost, own):
+        buckets = {r["b"] for r in lost.select(pr._bucket(own).alias("b")).collect()}
+        part = uses.where(F.col("__bucket").isin(list(buckets)))
+        read.append((part.count(), uses.count()))
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [__bucket" in plan or "PartitionFilters: [isnotnull(__bucket" in plan
+        return users(uses, lost, own)
+
+    monkeypatch.setattr(pr, "_users", counted)
+    assert pr.closed_state_set(df).count() == 400
+    assert 5 <= len(read) <= 7
+    assert all(n < 0.5 * every for n, every in read)
+
+
 def test_rare_states_and_orphans(spark):
     rows = [("A", "B")] * 12 + [("A", "C")] * 3 + [("B", "B")] * 11 + [("D", None)] * 20
     df = spark.createDataFrame(rows, "svd_state string, target_state string")
