@@ -145,41 +145,80 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text")
     return postings.select("id", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+_SPAN = "struct<start:int,rule:int,end:int,first:int,stop:int>"  # code points, then bytes
+_PIECE = 256
+
+
+def _running(values: Column, start: Column, join) -> Column:
+    """What comes before each value: `join` of `start` and all earlier ones. Arrays are built per
+    piece and then per array of pieces, as appending to one array copies what it holds."""
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(_PIECE)),
+        lambda at: F.slice(values, at + 1, _PIECE),
+    )
+
+    def scan(items: Column, of) -> Column:
+        empty = F.slice(F.array(start), 1, 0)
+        return F.aggregate(
+            items,
+            F.struct(start.alias("last"), empty.alias("before")),
+            lambda acc, x: F.struct(
+                join(acc["last"], of(x)).alias("last"),
+                F.concat(acc["before"], F.array(acc["last"])).alias("before"),
+            ),
+        )
+
+    def whole(inner: Column) -> Column:
+        outer = scan(inner, lambda x: x["last"])["before"]
+        return F.flatten(
+            F.zip_with(inner, outer, lambda x, o: F.transform(x["before"], lambda v: join(o, v)))
+        )
+
+    return let(F.transform(pieces, lambda piece: scan(piece, lambda x: x)), whole)
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
-    """Array of (start, rule, end) of a rule's matches, in code points, end exclusive."""
+    """Array of (start, rule, end) of a rule's matches, in code points, end exclusive, and the same
+    in bytes. Every text piece is touched a fixed number of times, however many matches there are."""
     pattern = F.lit(rule.pattern)
+
+    def sizes(x: Column) -> Column:
+        return F.struct(
+            (F.length(x["before"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("n"),
+            (F.octet_length(x["before"]) + F.coalesce(F.octet_length(x["m"]), F.lit(0))).alias("b"),
+        )
+
+    def add(x: Column, y: Column) -> Column:
+        return F.struct((x["n"] + y["n"]).alias("n"), (x["b"] + y["b"]).alias("b"))
+
+    def span(x: Column, at: Column) -> Column:
+        start, first = at["n"] + F.length(x["before"]), at["b"] + F.octet_length(x["before"])
+        return F.struct(
+            start.alias("start"),
+            F.lit(number).alias("rule"),
+            (start + F.length(x["m"])).alias("end"),
+            first.alias("first"),
+            (first + F.octet_length(x["m"])).alias("stop"),
+        )
+
+    def placed(matches: Column) -> Column:
+        nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("b"))
+        before = let(F.transform(matches, sizes), lambda v: _running(v, nothing, add))
+        pairs = F.arrays_zip(matches.alias("x"), before.alias("at"))
+        counted = F.filter(pairs, lambda p: F.length(p["x"]["g"]) >= rule.least)
+        return F.transform(counted, lambda p: span(p["x"], p["at"])).cast(f"array<{_SPAN}>")
+
     matches = F.arrays_zip(
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("g"),
         # one piece more than there are matches
-        F.transform(F.split(text, rule.pattern, -1), lambda p: F.length(p)).alias("before"),
-    )
-    found = F.aggregate(
-        matches,
-        F.struct(
-            F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rule:int,end:int>>").alias("out")
-        ),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["before"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(
-                F.length(x["g"]) >= rule.least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["before"]).alias("start"),
-                            F.lit(number).alias("rule"),
-                            (acc["at"] + x["before"] + F.length(x["m"])).alias("end"),
-                        )
-                    ),
-                ),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(rule.pattern), found).otherwise(
-        F.array().cast("array<struct<start:int,rule:int,end:int>>")
+        F.split(text, rule.pattern, -1).alias("before"),
     )
+    return F.when(text.rlike(rule.pattern), let(matches, placed)).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{_SPAN}>")
 
 
 def _quick(rule: Rule) -> Rule:
@@ -200,6 +239,25 @@ def re_class(pattern: str) -> str | None:
     return None
 
 
+def _with_spans(
+    docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...], name: str
+) -> DataFrame:
+    """All rows and columns, and the spans of all rules, sorted, under a name of its own."""
+    low = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # rows travel as one struct, so that no name of theirs meets a name of the index
+    found = candidates(low, rules)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(found, F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")), "left")
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    arrays = []
+    for number, rule in enumerate(rules):
+        spans = _spans(text, _quick(rule), number)
+        if trigram_query(rule.pattern):
+            spans = F.when(F.array_contains("kinds", rule.kind), spans).otherwise(_none())
+        arrays.append(spans)
+    return joined.select("row", F.array_sort(F.concat(*arrays)).alias(name))
+
+
 def find_secrets(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -208,20 +266,12 @@ def find_secrets(
 ) -> DataFrame:
     """All rows of `docs` with all columns, and `spans`: array of (start, rule, end), sorted, where
     rule is the rule's number. Null text: no spans. Rows of one id share their index entry, which
-    only widens the candidates; null ids are one id. A column named `spans` is replaced."""
-    docs = docs.drop("spans")
-    low = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = candidates(low, rules).withColumnsRenamed({"id": "__id", "kinds": "__kinds"})
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["__id"]), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
-    arrays = []
-    for number, rule in enumerate(rules):
-        spans = _spans(text, _quick(rule), number)
-        if trigram_query(rule.pattern):
-            spans = F.when(F.array_contains("__kinds", rule.kind), spans).otherwise(none)
-        arrays.append(spans)
-    return joined.withColumn("spans", F.array_sort(F.concat(*arrays))).drop("__id", "__kinds")
+    only widens the candidates; null ids are one id. A column named `spans` is replaced. The work
+    grows with the length of a text and its matches, not with their product."""
+    found = _with_spans(docs, id_col, text_col, rules, "spans")
+    public = F.transform("spans", lambda s: F.struct(s["start"], s["rule"], s["end"]))
+    others = [c for c in docs.columns if c != "spans"]
+    return found.select(*[F.col(f"row.`{c}`") for c in others], public.alias("spans"))
 
 
 def _written(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -269,23 +319,31 @@ def mask_secrets(
     rules: tuple[Rule, ...] = RULES,
     mask: str = MASK,
 ) -> DataFrame:
-    """All rows and columns, with `mask` in place of each secret (overlapping ones: one mask)."""
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.concat(
-            acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)
+    """All rows and columns, with `mask` in place of each secret (overlapping ones: one mask).
+    Columns of any name are kept as they are. The pieces between secrets are cut by bytes, which
+    takes no search from the text's beginning."""
+    text = F.col(f"row.`{text_col}`")
+
+    def masked(spans: Column, whole: Column) -> Column:
+        stops = F.transform(spans, lambda s: s["stop"])
+        done = let(stops, lambda v: _running(v, F.lit(0), F.greatest))
+        both = F.arrays_zip(spans.alias("s"), done.alias("done"))
+        apart = F.filter(both, lambda x: x["s"]["first"] >= x["done"])
+        pieces = F.transform(
+            apart,
+            lambda x: F.substring(whole, x["done"] + 1, x["s"]["first"] - x["done"]).cast("string"),
         )
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"),
-        )
-
-    masked = F.aggregate(
-        "spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
+        last = F.array_max(stops)
+        rest = F.substring(whole, last + 1, F.octet_length(whole) - last).cast("string")
+        return F.array_join(F.concat(pieces, F.array(rest)), mask)
+
+    found = _with_spans(docs, id_col, text_col, rules, "spans")
+    # a cast to bytes copies the text, so it is made once
+    with_bytes = let(text.cast("binary"), lambda whole: masked(F.col("spans"), whole))
+    new = F.when(F.size("spans") > 0, with_bytes).otherwise(text)
+    return found.select(
+        *[
+            (new if c == text_col else F.col(f"row.`{c}`")).alias(c)
+            for c in docs.columns
+        ]
     )
-    found = find_secrets(docs, id_col, text_col, rules)
-    return found.withColumn(
-        text_col, F.when(F.size("spans") > 0, masked).otherwise(text)
-    ).select(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -169,6 +170,30 @@ def test_secrets(spark):
     check(got.select("doc_id", "text").collect(), masked)
 
 
+def test_masks_keep_columns_of_any_name(spark):
+    rows = [(1, "é token=abcdef12 x", "own", 5, 1.5, "k"), (None, "plain", "own", None, None, None)]
+    schema = "doc_id long, text string, spans string, id int, row double, kinds string"
+    got = secrets.mask_secrets(spark.createDataFrame(rows, schema))
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "string", "string", "int", "double", "string"]
+    check(got.collect(), [(1, f"é {secrets.MASK} x", *rows[0][2:]), rows[1]])
+
+
+@pytest.mark.parametrize("separator", ["\n", "é "])
+def test_secrets_of_a_very_long_text_take_linear_time(spark, separator):
+    n = 2_000_000 // (16 + len(separator))
+    text = f"token=abcdef1234{separator}" * n
+    df, _ = frame(spark, [text, "y"])
+    df = df.where("doc_id = 0 and spans = 'x'").limit(1)
+    start = time.time()
+    got = secrets.secret_report(df).collect()[0]
+    step = 16 + len(separator)
+    assert got["n_assign"] == n
+    assert got["spans"] == ",".join(f"assign:{i * step}:{i * step + 16}" for i in range(n))
+    masked = secrets.mask_secrets(df).collect()[0]["text"]
+    assert masked == (secrets.MASK + separator) * n
+    assert time.time() - start < 60, time.time() - start  # quadratic: more than 1000 s
+
+
 def test_trigram_queries():
     q = secrets.trigram_query(secrets.BASE_RULES[0].pattern)
     assert len(q) == 1 and frozenset({"sec", "ecr", "cre", "ret"}) in q[0]
