@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .bpe import small_batches
 
 SIMILARITY = 0.8
@@ -236,15 +238,26 @@ class Matcher:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The items, in blocks of bounded size."""
-    size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    """The items, in blocks of bounded size; equal texts of one id are one item."""
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = size // block_bytes + 1
-    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks))
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
     for b in range(blocks):
-        rows = benchmark.where(block == b).select(id_col, text_col).collect()
+        rows = items.where(block == b).collect()
         yield sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
 
 
+def _each_block(blocks, scan, name: str) -> Iterator[DataFrame]:
+    """`scan` of each block; all but the last are written before the next block is read, so the
+    driver and a plan hold one block at a time."""
+    items = next(blocks)
+    for after in blocks:
+        yield materialise(scan(items), name)
+        items = after
+    yield scan(items)
+
+
 def find_benchmark_items(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -279,17 +292,37 @@ def find_benchmark_items(
 
         return picked.mapInArrow(run, schema)
 
-    out = None
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        found = scan(items)
-        out = found if out is None else out.unionByName(found)
-    return out
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    return reduce(DataFrame.unionByName, _each_block(blocks, scan, "occurrences"))
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **names
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    similarity: float = SIMILARITY,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows whose id has no occurrence of an item; columns unchanged."""
-    found = find_benchmark_items(docs, benchmark, id_col, **names).select(id_col).distinct()
-    found = found.withColumnRenamed(id_col, "__found")
-    return docs.join(found, docs[id_col].eqNullSafe(found["__found"]), "left_anti")
+    """The rows whose own text holds no item, with all columns; ids are not looked at, so rows that
+    share one, or have none, are judged one by one. The rows stream through the matcher and are
+    filtered there: no shuffle. Null and empty texts stay; empty tables: nothing to drop."""
+    at = docs.columns.index(text_col)
+    kept = docs
+
+    def scan(items: list[tuple[int, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(items, similarity)
+            for batch in small_batches(batches, 2 << 20):
+                bad = {r[0] for r in matcher.find(batch.column(at).to_pylist())}
+                clean = [n not in bad for n in range(batch.num_rows)]
+                yield batch.filter(pa.array(clean, pa.bool_())) if bad else batch
+
+        return kept.mapInArrow(run, docs.schema)
+
+    for kept in _each_block(
+        _blocks(benchmark, item_col, item_text_col, block_bytes), scan, "clean"
+    ):
+        pass
+    return kept

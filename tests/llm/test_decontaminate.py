@@ -96,16 +96,40 @@ def test_exact_copies_are_all_found_in_any_block_of_items(spark):
         assert got.count((i, i)) == (2 if t and t.strip() else 0)
 
 
-def test_dropped_rows(spark):
+@pytest.mark.parametrize("block_bytes", [dc.BLOCK_BYTES, 900])
+def test_dropped_rows(spark, block_bytes):
+    """Rows are judged by their own text: clean rows stay beside contaminated ones of the same id."""
+    docs, items, _ = corpus(4)
+    docs += [(1, "clean words", 7), (None, "clean too", 7), (None, None, 7), (None, docs[3][1], 8)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(3)
+    bench = spark.createDataFrame(items + [(None, items[0][1]), items[1]], "item_id long, text string")
+    numbered = spark.createDataFrame([(n, d[1], 0) for n, d in enumerate(docs)], SCHEMA)
+    bad = {x["doc_id"] for x in dc.find_benchmark_items(numbered, bench).collect()}
+    left = dc.drop_contaminated(df, bench, block_bytes=block_bytes)
+    assert left.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
+    want = sorted((d for n, d in enumerate(docs) if n not in bad), key=key)
+    assert sorted(map(tuple, left.collect()), key=key) == want
+    assert {(1, "clean words", 7), (None, "clean too", 7), (None, None, 7)} <= set(want)
+    assert (None, docs[3][1], 8) not in want
+
+
+def test_dropping_rows_takes_no_shuffle(spark):
     docs, items, _ = corpus(4)
     df = spark.createDataFrame(docs, SCHEMA)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    bad = {x["doc_id"] for x in dc.find_benchmark_items(df, bench).collect()}
-    left = dc.drop_contaminated(df, bench)
-    assert left.columns == df.columns
-    assert sorted(x["doc_id"] for x in left.collect()) == sorted(
-        d for d, *_ in docs if d not in bad and d is not None
-    )
+    plan = dc.drop_contaminated(df, bench)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_a_very_long_text(spark):
+    docs, items, _ = corpus(4)
+    long = "filler text " * 100_000 + items[0][1] + " more" * 50_000
+    df = spark.createDataFrame([(1, long, 0), (2, "filler text " * 100_000, 0)], SCHEMA)
+    bench = spark.createDataFrame(items[:1], "item_id long, text string")
+    got = [tuple(x) for x in dc.find_benchmark_items(df, bench).collect()]
+    assert got == [(1, items[0][0], 200_000, len(dc.words_of(items[0][1])), 0)]
+    assert [x["doc_id"] for x in dc.drop_contaminated(df, bench).collect()] == [2]
 
 
 def test_empty_tables(spark):

@@ -62,14 +62,14 @@ def expected(spark, docs, items):
         groups.setdefault(roots[p], []).append(d)
     blank = lambda d: tuple((x is not None, x) if x is not None else (False, 0) for x in d)
     kept = [min(g, key=lambda d: (d[0] is None, blank(d))) for g in groups.values()]
-    held = {d for d, _ in brute([(d[0], d[1], 0) for d in kept], items)}
+    held = {n for n, _ in brute([(n, d[1], 0) for n, d in enumerate(kept)], items)}
     out = []
     coder = tiktoken.Encoding(
         "own", pat_str=public_tokenizers.PATTERN, special_tokens={},
         mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")),
     )
-    for i, text, lang, source, _ in kept:
-        if i in held:
+    for n, (i, text, lang, source, _) in enumerate(kept):
+        if n in held:
             continue
         masked, at = "", 0
         for a, _, b in brute_spans(text, secrets.RULES):
