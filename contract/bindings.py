@@ -141,10 +141,9 @@ DUCK_ONLY = {
     "b_climate": """
         SELECT k.point_id, k.year, d.doy, coalesce(tas, 0) AS tas, coalesce(prec, 0) AS prec,
                coalesce(rad, 0) AS rad, coalesce(vpd, 0) AS vpd
-        FROM (SELECT DISTINCT l_suppkey % 20 AS point_id, year(l_shipdate) AS year FROM {lineitem}
-              WHERE year(l_shipdate) BETWEEN 1995 AND 2000) k
+        FROM (SELECT DISTINCT l_suppkey AS point_id, year(l_shipdate) AS year FROM {lineitem}) k
         CROSS JOIN (SELECT unnest(range(1, 366)) AS doy) d
-        LEFT JOIN (SELECT l_suppkey % 20 AS point_id, year(l_shipdate) AS year,
+        LEFT JOIN (SELECT l_suppkey AS point_id, year(l_shipdate) AS year,
                           dayofyear(l_shipdate) AS doy, avg(l_quantity) AS tas,
                           avg(l_extendedprice) / 1000 AS prec, avg(100 * l_discount) AS rad,
                           avg(100 * l_tax) AS vpd
@@ -350,7 +349,7 @@ def climate(spark: SparkSession, d: str) -> DataFrame:
     days = (
         table(spark, d, "lineitem")
         .select(
-            (F.col("l_suppkey") % 20).alias("point_id"),
+            F.col("l_suppkey").alias("point_id"),
             F.year("l_shipdate").cast("bigint").alias("year"),
             F.dayofyear("l_shipdate").alias("doy"),
             F.col("l_quantity").alias("tas"),
@@ -358,7 +357,6 @@ def climate(spark: SparkSession, d: str) -> DataFrame:
             (100 * F.col("l_discount")).alias("rad"),
             (100 * F.col("l_tax")).alias("vpd"),
         )
-        .where(F.col("year").between(1995, 2000))
         .groupBy("point_id", "year", "doy")
         .agg(
             F.avg("tas").alias("tas"), (F.avg("prec") / 1000).alias("prec"),

@@ -5,12 +5,15 @@ Yearly climate is four arrays of 365 daily values: tas, prec, rad, vpd.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.model_apply import ModelLoader, apply_model
+from ..functions.model_apply import ModelLoader, apply_model, dense
 
 # Fixed values of the study.
 VARIABLES = ("tas", "prec", "rad", "vpd")
@@ -136,6 +139,63 @@ def climate_features(
     return compress_climate(ready, load_model, dtype)
 
 
+def _day_means(days: np.ndarray) -> np.ndarray:
+    """Means over the last axis; missing days are left out, without any day NaN."""
+    seen = ~np.isnan(days)
+    n = seen.sum(axis=-1)
+    total = np.where(seen, days, 0.0).sum(axis=-1)
+    return np.divide(total, n, out=np.full(total.shape, np.nan), where=n > 0)
+
+
+def packed_features(
+    climate: DataFrame,
+    load_model: ModelLoader,
+    dtype: str = "float32",
+    name: str = "features",
+) -> DataFrame:
+    """The features of `climate_features` as one array in the order of `feature_names`, in place of
+    the daily arrays (and of a column called `name`), from one pass over Arrow batches: the days go
+    to the worker once, and 52 numbers a row come back. Means without any day are null; a null day or
+    arrays of another length than 365 are errors, as for the model."""
+    kept = [f for f in climate.schema.fields if f.name not in (*VARIABLES, name)]
+    schema = T.StructType([*kept, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    names = [f.name for f in kept]
+    ends = np.cumsum(DAYS_IN_MONTH)
+    months = [slice(int(e - n), int(e)) for e, n in zip(ends, DAYS_IN_MONTH)]
+    width = len(feature_names())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load_model()
+        site = np.array(list(SITE.values())) / SITE_SCALE
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            column = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            days = [dense(column[v], "float64").reshape(n, -1) for v in VARIABLES]
+            if any(d.shape[1] != DAYS for d in days):
+                raise ValueError(f"{DAYS} daily values expected")
+            cube = np.stack([d / s for d, s in zip(days, CLIMATE_SCALE)], axis=2)
+            soil = np.broadcast_to(site, (n, len(site)))
+            out = model({"cube": cube.astype(dtype), "site": soil.astype(dtype)})
+            by_name = dict(zip(VARIABLES, days))
+            means = [_day_means(d) for d in days]
+            means += [_day_means(by_name[v][:, m]) for v in MONTHLY_VARIABLES for m in months]
+            values = np.hstack([
+                np.stack(means, axis=1),
+                np.asarray(out["comp_clim"], dtype="float64").reshape(n, N_COMPRESSED),
+                np.asarray(out["npp"], dtype="float64").reshape(n, N_NPP),
+            ])
+            empty = np.isnan(values)
+            empty[:, len(means) :] = False  # the model's own NaN stay
+            flat = pa.array(values.ravel(), mask=empty.ravel())
+            offsets = pa.array(np.arange(0, n * width + 1, width, dtype="int32"))
+            arrays = [column[c] for c in names] + [pa.ListArray.from_arrays(offsets, flat)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, name])
+
+    return climate.mapInArrow(run, schema)
+
+
 def sequence_within_example(
     df: DataFrame, keys: Sequence[str], order: str, name: str = "s"
 ) -> DataFrame:

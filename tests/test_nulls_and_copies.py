@@ -2,7 +2,9 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from contract.bindings import load_linear_model
 from standflow.functions.model_apply import dense
 from standflow.operators import examples as ex
 from standflow.operators import grid as gr
@@ -10,6 +12,7 @@ from standflow.operators import model_io as mio
 from standflow.operators import niche
 from standflow.operators import prune as pr
 from standflow.operators import samples as sm
+from standflow.plans import assembly
 
 
 def test_timeline_of_a_null_unit_stays(spark):
@@ -87,3 +90,45 @@ def test_null_groups_have_a_box(spark):
     assert {(r["g"], r["n"], r["median"], r["whisker_high"]) for r in out} == {
         ("a", 4, 2.5, 3.0), (None, 4, 2.5, 3.0),
     }
+
+
+def test_packed_features_are_those_of_the_single_steps(spark):
+    days = [f"transform(sequence(1, 365), d -> sin(id * 7 + d * {k + 1}) * {k + 3}) AS {v}"
+            for k, v in enumerate(sm.VARIABLES)]
+    df = spark.range(7).selectExpr("id", "id % 3 AS k", *days, "CAST(NULL AS STRING) AS features")
+    steps = sm.climate_features(df.drop("features"), load_linear_model, "float64")
+    want = {r["id"]: [r[n] for n in sm.feature_names()] for r in steps.collect()}
+    packed = sm.packed_features(df, load_linear_model, "float64")
+    assert packed.columns == ["id", "k", "features"]
+    got = {r["id"]: r["features"] for r in packed.repartition(3).collect()}
+    assert got.keys() == want.keys()
+    for i, values in want.items():
+        assert got[i] == pytest.approx(values, abs=1e-9)
+
+
+def test_packed_features_of_missing_days(spark):
+    day = "transform(sequence(1, 365), d -> IF(d <= 31, double('NaN'), 2D))"
+    df = spark.sql(f"SELECT 1 AS id, {day} AS tas, {day} AS prec, {day} AS rad, {day} AS vpd")
+    got = dict(zip(sm.feature_names(), sm.packed_features(df, load_linear_model).first()["features"]))
+    assert got["MAT"] == 2 and got["tas_month1"] is None and got["prec_month2"] == 2
+    short = df.withColumn("rad", F.slice("rad", 1, 9))
+    with pytest.raises(Exception, match="365"):
+        sm.packed_features(short, load_linear_model).collect()
+    assert sm.packed_features(df.limit(0), load_linear_model).collect() == []
+
+
+def test_samples_from_daily_arrays(spark):
+    """Through the model: a window with a missing feature is left out, names and ids are there."""
+    day = "transform(sequence(1, 365), d -> IF(sim = 2 AND y = 3 AND d <= 31, double('NaN'), y * 1D))"
+    sims = spark.sql(
+        f"SELECT 's' AS scenario, 1 AS uniqueID, sim AS simulationID, 2000 + y AS Year, {day} AS tas, "
+        f"{day} AS prec, {day} AS rad, {day} AS vpd FROM (SELECT explode(sequence(0, 9)) AS y) "
+        "CROSS JOIN (SELECT explode(array(1, 2)) AS sim)"
+    )
+    ex = spark.createDataFrame([("s", 1, 1, 2000, 5), ("s", 1, 2, 2000, 5)],
+                               "scenario string, uniqueID int, simulationID int, Year int, grid_id int")
+    wide = assembly.build_training_samples(ex, sims, load_linear_model, dtype="float64")
+    assert len(wide.columns) == len(ex.columns) + 1 + 520
+    rows = wide.collect()
+    assert [(r["exampleID"], r["gridID"], r["Year"]) for r in rows] == [("s:1:1:2000", 5, 2000)]
+    assert [rows[0][f"tas_month7_{s}"] for s in range(1, 11)] == [float(y) for y in range(10)]
