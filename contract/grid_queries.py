@@ -293,10 +293,11 @@ def _(spark, d):
 
 
 @query("dominance_shift_map_table", f"""
-    WITH {_dominant(2, True)},
+    WITH {_INSIDE.replace("FROM {b_grid} g, edges", "FROM (" + _HEX + ") g, edges").replace("y1 <= y AND y < y2", "y1 <= py AND py < y2").replace("y2 <= y AND y < y1", "y2 <= py AND py < y1").replace("x < (x2", "px < (x2").replace("(y - y1)", "(py - y1)")},
+    {_dominant(2, True)},
     shift AS (SELECT rcp, point_id, CASE WHEN sum(net_change) > 0 THEN 0 ELSE sum(net_change) END
                      AS shift FROM dominant GROUP BY ALL),
-    hexes AS ({_HEX}),
+    hexes AS (SELECT DISTINCT point_id, bin_q, bin_r FROM inside),
     zones AS (SELECT r.rcp, bin_q, bin_r, avg(shift) AS mean_shift
               FROM hexes h CROSS JOIN (SELECT unnest(['rcp_8_5', 'rcp_2_6']) AS rcp) r
               LEFT JOIN shift s ON s.rcp = r.rcp AND s.point_id = h.point_id GROUP BY ALL)
@@ -304,6 +305,6 @@ def _(spark, d):
 def _(spark, d):
     own = cells(spark, d).withColumns({"x": F.col("x") + 0.013, "y": F.col("y") + 0.0071})
     out = shift_map.dominance_shift_map_table(
-        own, dominance(spark, d), ["rcp_8_5", "rcp_2_6"], _W, fact=2
+        own, dominance(spark, d), ["rcp_8_5", "rcp_2_6"], _W, fact=2, area=edges(spark)
     )
     return r6(out, "pct")
