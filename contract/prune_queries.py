@@ -14,24 +14,30 @@ _COLS = ("grid_id", "uniqueID", "svd_state", "simulationID", "Year", "residence_
 _CAP = 12
 
 
-@query("coverage_subsample", f"""
-    WITH base AS (SELECT {', '.join(_COLS)} FROM {{b_examples}}),
+def _subsampled(cols, cap: int, seed: int) -> str:
+    own = ", ".join(cols)
+    return f"""
+    base AS (SELECT {own} FROM {{b_examples}}),
     cells AS (SELECT grid_id, uniqueID, svd_state, count(*) AS n FROM base GROUP BY ALL),
-    big AS (SELECT grid_id, uniqueID, CAST(ceil({_CAP} / count(*)) AS BIGINT) AS draws
-            FROM cells GROUP BY ALL HAVING sum(n) > {_CAP}),
+    big AS (SELECT grid_id, uniqueID, CAST(ceil({cap} / count(*)) AS BIGINT) AS draws
+            FROM cells GROUP BY ALL HAVING sum(n) > {cap}),
     numbered AS (
       SELECT *, row_number() OVER (PARTITION BY grid_id, uniqueID, svd_state
-             ORDER BY md5(concat_ws('|', {', '.join(_COLS)}, '5'))) AS i FROM base),
+             ORDER BY md5(concat_ws('|', {own}, '{seed}'))) AS i FROM base),
     picked AS (
       SELECT DISTINCT grid_id, uniqueID, svd_state,
-             1 + ('0x' || substr(md5(concat_ws('|', grid_id, uniqueID, svd_state, j, '5')), 1, 8))
+             1 + ('0x' || substr(md5(concat_ws('|', grid_id, uniqueID, svd_state, j, '{seed}')), 1, 8))
                  ::BIGINT % n AS i
       FROM (SELECT c.*, unnest(range(1, draws + 1)) AS j FROM cells c
-            JOIN big USING (grid_id, uniqueID)) d)
-    SELECT {', '.join(_COLS)} FROM numbered
-    WHERE (grid_id, uniqueID) NOT IN (SELECT (grid_id, uniqueID) FROM big)
-       OR (grid_id, uniqueID, svd_state, i) IN
-          (SELECT (grid_id, uniqueID, svd_state, i) FROM picked)""")
+            JOIN big USING (grid_id, uniqueID)) d),
+    sampled AS (
+      SELECT {own} FROM numbered
+      WHERE (grid_id, uniqueID) NOT IN (SELECT (grid_id, uniqueID) FROM big)
+         OR (grid_id, uniqueID, svd_state, i) IN
+            (SELECT (grid_id, uniqueID, svd_state, i) FROM picked))"""
+
+
+@query("coverage_subsample", f"WITH {_subsampled(_COLS, _CAP, 5)} SELECT * FROM sampled")
 def _(spark, d):
     rows = enriched_examples(spark, d).select(*_COLS)
     return pr.coverage_subsample(rows, ["grid_id", "uniqueID"], "svd_state", _CAP, seed=5)
@@ -228,3 +234,47 @@ def _(spark, d):
         F.count(F.lit(1)).alias("n")
     )
     return r6(pairs.withColumn("sim", sc.state_similarity_of("svd_state", "target_state")), "sim")
+
+
+# --- both training tables: thin, prune, conform, look up -------------------------------------------
+
+_JOINT = ("grid_id", "uniqueID", "simulationID", "Year", *pr.STATE_COLUMNS, "residence_time",
+          "target_time")
+_JOINT_CAP, _JOINT_COUNT = 15, 3
+_NEAR_SAMPLED = _NEAR.replace("{t_examples}", "sampled")
+_FREQUENT_SAMPLED = _FREQUENT.replace("> 10", f"> {_JOINT_COUNT}")
+_KNOWN = "(SELECT svd_state FROM kept UNION ALL SELECT 'missing')"
+
+
+@query("prune_training_tables", f"""
+    {_CODES}, {_subsampled(_JOINT, _JOINT_CAP, 5)}, near AS ({_NEAR_SAMPLED}),
+    frequent AS ({_FREQUENT_SAMPLED}), {_rounds("frequent", 8)},
+    kept AS (SELECT {', '.join(_JOINT)} FROM r7 WHERE uniqueID NOT IN (1005, 1015)),
+    kept_aug AS (
+      SELECT {', '.join('e.' + c for c in _JOINT)}
+      FROM (SELECT * REPLACE (target_time - 1 AS target_time, residence_time + 1 AS residence_time)
+            FROM {{b_examples}} WHERE target_time NOT IN (1, 10)) e
+      JOIN sims s ON s.state_from = e.svd_state AND s.state_to = e.target_state
+      WHERE 1 - s.sim <= 0.9 AND uniqueID NOT IN (1005, 1015)
+        AND {' AND '.join(f'e.{c} IN {_KNOWN}' for c in pr.STATE_COLUMNS)}),
+    both_tables AS (SELECT 0 AS augmented, * FROM kept UNION ALL SELECT 1, * FROM kept_aug),
+    lookup AS (
+      SELECT state, row_number() OVER (ORDER BY state) AS id FROM (
+        SELECT DISTINCT state FROM (SELECT {_STATES} AS state FROM both_tables) u
+        WHERE state <> 'missing') v
+      UNION ALL SELECT 'missing', 0)
+    SELECT b.*, {', '.join(f'l{i}.id AS {c}_id' for i, c in enumerate(pr.STATE_COLUMNS))}
+    FROM both_tables b {' '.join(
+        f'LEFT JOIN lookup l{i} ON l{i}.state = b.{c}' for i, c in enumerate(pr.STATE_COLUMNS))}""")
+def _(spark, d):
+    ex = enriched_examples(spark, d).select(*_JOINT)
+    aug = ex.where("target_time NOT IN (1, 10)").withColumns(
+        {"target_time": F.col("target_time") - 1, "residence_time": F.col("residence_time") + 1}
+    )
+    kept, kept_aug, lookup = pruning.prune_training_tables(
+        ex, aug, min_count=_JOINT_COUNT, group=["grid_id", "uniqueID"], cap=_JOINT_CAP, seed=5
+    )
+    both = kept.withColumn("augmented", F.lit(0)).unionByName(
+        kept_aug.withColumn("augmented", F.lit(1))
+    )
+    return pruning.with_state_ids(both, lookup, pr.STATE_COLUMNS)
