@@ -159,10 +159,18 @@ def batch_score(
 
 
 def top_k(proba: Column | str, k: int = TOP_K) -> Column:
-    """The k largest as ARRAY<STRUCT<neg, i>>; the lower index wins ties."""
+    """The k largest as ARRAY<STRUCT<neg, i>>; the lower index wins ties. One walk over the vector
+    with the best k so far: a value is compared with the last of them, and only a better one is put
+    in its place."""
     vector = F.col(proba) if isinstance(proba, str) else proba
-    ranked = F.array_sort(F.transform(vector, lambda p, i: F.struct((-p).alias("neg"), i.alias("i"))))
-    return F.slice(ranked, 1, k)
+    entries = F.transform(vector, lambda p, i: F.struct((-p).alias("neg"), i.alias("i")))
+
+    def step(best: Column, x: Column) -> Column:
+        better = (F.size(best) < k) | (x < F.get(best, F.lit(k - 1)))
+        grown = F.slice(F.array_sort(F.concat(best, F.array(x))), 1, k)
+        return F.when(better, grown).otherwise(best)
+
+    return F.aggregate(entries, F.slice(entries, 1, 0), step)
 
 
 def top_k_predictions(
