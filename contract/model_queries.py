@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from standflow.operators import init_states as ist
 from standflow.operators import model_io as mio
 from standflow.operators import prune as pr
+from standflow.operators import samples as sm
 from standflow.plans import prediction
 
 from .bindings import (
@@ -110,6 +111,11 @@ def _(spark, d):
     )
 
 
+# all features, ten years of each
+_CLIMATE = [f"{f}_{y}" for f in sm.feature_names() for y in range(1, 11)]
+_SITE = ["whc_extract", "sand_extract", "depth_extract", "r_nitro"]
+
+
 def grid(spark, d):
     return table(spark, d, "customer").select(
         F.col("c_custkey").alias("point_id"),
@@ -121,8 +127,11 @@ def grid(spark, d):
                      (F.col("c_custkey") % 6 + 1).cast("int")).alias("decade"),
         F.element_at(F.array(*[F.lit(s) for s in SCENARIOS]),
                      (F.col("c_custkey") % 3 + 1).cast("int")).alias("scenario"),
+        (100 + F.col("c_custkey") % 50).cast("double").alias("whc_extract"),
         (F.col("c_custkey") % 100).cast("double").alias("sand_extract"),
-        *[(F.col("c_acctbal") / 1000 + y).alias(f"MAT_{y}") for y in range(1, 11)],
+        (100 * (1 + F.col("c_nationkey"))).cast("double").alias("depth_extract"),
+        (F.col("c_custkey") % 50).cast("double").alias("r_nitro"),
+        *[(F.col("c_acctbal") / 1000 + j).alias(c) for j, c in enumerate(_CLIMATE, 1)],
     )
 
 
@@ -131,7 +140,7 @@ _GRID = f"""
                     CAST(40 + floor(c_custkey / 40) * 0.5 AS DOUBLE) AS wgs_y,
                     {case('c_nationkey % 9', SPECIES)} AS species,
                     {case('c_custkey % 6', DECADES)} AS decade,
-                    {case('c_custkey % 3', SCENARIOS)} AS scenario, c_acctbal
+                    {case('c_custkey % 3', SCENARIOS)} AS scenario, c_acctbal, c_nationkey
              FROM customer)"""
 
 
@@ -312,8 +321,9 @@ def load_counting_model():
         import numpy as np
 
         s = x["starting_state"][:, None]
-        warm = np.floor(x["climate"][:, 0, :] * 1000)
-        state = 1 + (s * 3 + np.arange(N_STATES)[None, :] * 7 + warm) % 11
+        warm = np.floor(x["climate"] * 1000).sum(axis=(1, 2))
+        place = (warm + sum(np.floor(x[c] * 1000) for c in _SITE))[:, None]
+        state = 1 + (s * 3 + np.arange(N_STATES)[None, :] * 7 + place) % 11
         hist = np.round(x["hist_time1"] * 10)[:, None]
         time = 1 + (s + np.arange(10)[None, :] * 3 + hist) % 7
         return {
@@ -332,14 +342,22 @@ def _head(name: str, score: str, n: int) -> str:
             FROM (SELECT *, {score} AS sc FROM crossed, (SELECT unnest(range({n})) AS i) k) a) b)"""
 
 
-_WARM = "CAST(floor((c_acctbal / 1000 + 1) / 20.0 * 1000) AS BIGINT)"
+_SITE_SQL = {
+    "whc_extract": "(100 + point_id % 50)", "sand_extract": "(point_id % 100)",
+    "depth_extract": "(100 * (1 + c_nationkey))", "r_nitro": "(point_id % 50)",
+}
+_PLACE = "CAST(list_sum([" + ", ".join(
+    [f"floor((c_acctbal / 1000 + {j}) / {mio.scale_of(c)}::DOUBLE * 1000)"
+     for j, c in enumerate(_CLIMATE, 1)]
+    + [f"floor({e}::DOUBLE / {mio.scale_of(c)}::DOUBLE * 1000)" for c, e in _SITE_SQL.items()]
+) + "]) AS BIGINT)"
 
 
 @query("predict_grid", f"""
     WITH {_GRID}, {_LOOKUP}, {_INIT},
-    crossed AS (SELECT g.*, i.state, coalesce(l.id, 0) AS s0, {_draw(1)} AS h1, {_WARM} AS warm
-                FROM grid g JOIN init i USING (species) LEFT JOIN lookup l USING (state)),
-    {_head("ps", f"1 + (((s0 * 3 + i * 7 + warm) % 11) + 11) % 11", N_STATES)},
+    crossed AS (SELECT g.*, i.state, coalesce(l.id, 0) AS s0, {_draw(1)} AS h1
+                FROM (SELECT *, {_PLACE} AS place FROM grid) g JOIN init i USING (species) LEFT JOIN lookup l USING (state)),
+    {_head("ps", f"1 + (((s0 * 3 + i * 7 + place) % 11) + 11) % 11", N_STATES)},
     {_head("pt", "1 + (s0 + i * 3 + h1) % 7", 10)},
     sw AS (SELECT point_id, state, """ + ", ".join(
     f"max(l.state_name) FILTER (r = {j}) AS pred_state_{j}, "
@@ -356,7 +374,7 @@ _WARM = "CAST(floor((c_acctbal / 1000 + 1) / 20.0 * 1000) AS BIGINT)"
 def _(spark, d):
     out = prediction.predict_grid(
         grid(spark, d), init_states(spark, d), lookup(spark, d), load_counting_model,
-        [f"MAT_{y}" for y in range(1, 11)], ["sand_extract"], N_STATES, dtype="float64",
+        _CLIMATE, _SITE, N_STATES, dtype="float64",
     )
     out = out.withColumns({f"time_index_{j}": F.col(f"time_index_{j}").cast("bigint")
                            for j in range(1, 6)})

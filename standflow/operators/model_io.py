@@ -91,17 +91,11 @@ def feature_cube(
     """[years][features] from columns ordered by feature, then year."""
     if len(cols) != years * features:
         raise ValueError("need one column per year and feature")
-    flat = F.array(*[F.col(c).cast("double") for c in cols])
-    return df.withColumn("__flat", flat).withColumn(
-        name,
-        F.transform(
-            F.sequence(F.lit(0), F.lit(years - 1)),
-            lambda i: F.transform(
-                F.sequence(F.lit(0), F.lit(features - 1)),
-                lambda f: F.get("__flat", f * years + i),
-            ),
-        ),
-    ).drop("__flat")
+    # written out: an array made first and indexed in a lambda is made again for each element
+    by_year = [cols[i::years] for i in range(years)]
+    return df.withColumn(
+        name, F.array(*[F.array(*[F.col(c).cast("double") for c in year]) for year in by_year])
+    )
 
 
 def cross_initial_states(
