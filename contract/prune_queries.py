@@ -138,6 +138,13 @@ def _(spark, d):
     return r6(pr.state_similarity(states), "sim")
 
 
+@query("similar_states", f"""
+    {_CODES} SELECT state_from, state_to, round(sim, 6) AS sim FROM sims WHERE sim >= 0.5""")
+def _(spark, d):
+    states = pr.distinct_states([examples(spark, d)], ["svd_state", "target_state"])
+    return r6(pr.state_similarity(states, min_sim=0.5), "sim")
+
+
 _NEAR = """SELECT e.*, 1 - s.sim AS dist FROM {t_examples} e
            JOIN sims s ON s.state_from = e.svd_state AND s.state_to = e.target_state
            WHERE 1 - s.sim <= 0.9"""

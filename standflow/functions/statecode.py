@@ -86,13 +86,30 @@ def share_overlap(a: Column, b: Column) -> Column:
     )
 
 
+def _height_weight(height_from: Column) -> Column:
+    return F.lit(1.0) - F.exp(F.lit(-0.5) * height_from)
+
+
+def _lai_factor(lai_from: Column, lai_to: Column) -> Column:
+    return F.lit(1.0) - F.least(F.pow(F.abs(lai_to - lai_from) / 2, F.lit(4.0)), F.lit(1.0))
+
+
+def least_overlap(
+    min_sim: float, lai_from: Column, lai_to: Column, height_from: Column
+) -> Column:
+    """The share overlap that a similarity of `min_sim` needs; 0 if it needs none."""
+    weight, factor = _height_weight(height_from), _lai_factor(lai_from, lai_to)
+    needed = F.lit(1.0) - (F.lit(1.0) - F.lit(min_sim) / factor) / weight
+    return F.when((weight > 0) & (factor > 0), F.greatest(needed, F.lit(0.0))).otherwise(0.0)
+
+
 def similarity(
     overlap: Column, lai_from: Column, lai_to: Column, height_from: Column, height_to: Column
 ) -> Column:
     """Similarity of two states; not symmetric, because the weight uses the height of the first."""
-    weight = F.lit(1.0) - F.exp(F.lit(-0.5) * height_from)
+    weight = _height_weight(height_from)
     height_ok = F.when(F.abs(height_to - height_from) > 2, F.lit(0.0)).otherwise(F.lit(1.0))
-    lai_ok = F.lit(1.0) - F.least(F.pow(F.abs(lai_to - lai_from) / 2, F.lit(4.0)), F.lit(1.0))
+    lai_ok = _lai_factor(lai_from, lai_to)
     return (F.lit(1.0) - (F.lit(1.0) - overlap) * weight) * height_ok * lai_ok
 
 

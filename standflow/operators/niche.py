@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import null_safe_join
+from ..functions.joins import null_safe_join, tiled_join
 from ..functions.scans import BLOCK, blocked_row_number, carry, key_names, preceding, whole
 from ..functions.stats import mean_ci, species_group, with_interval
 from ..session import materialise
@@ -146,7 +146,9 @@ def bin_2d_mean(
     min_n: int = 10,
 ) -> DataFrame:
     """Rows with their bin on both axes, the mean of `z` in the bin, its row count and a dense id,
-    for bins of more than `min_n` rows. Bins start at the floor of the least value."""
+    for bins of more than `min_n` rows. Bins start at the floor of the least value. The rows are
+    written first: the least values, the bins and the result read them."""
+    df = materialise(df, "rows")
     low = df.agg(
         F.struct(F.floor(F.min(x)).alias("x"), F.floor(F.min(y)).alias("y"))
     ).scalar()
@@ -174,14 +176,20 @@ def species_diff_to_center(
     """Differences of every edge row to every center row of its species, group and scenario, as a
     table of distinct value pairs with the number of row pairs behind each (`n_pairs`).
 
-    Both sides are counted by value first. Net changes are shares of small counts, so few values
-    stand for many rows, and no row pair is built."""
-    counted = df.groupBy(*keys, "edge", value).agg(F.count(F.lit(1)).alias("n"))
+    Both sides are counted by value first, values rounded to ten places, and the counts are written.
+    Net changes are shares of small counts, so few values stand for many rows, and no row pair is
+    built. The values of a center are dealt into tiles that meet the edges in tasks of their own."""
+    counted = materialise(
+        df.withColumn(value, F.round(value, 10))
+        .groupBy(*keys, "edge", value)
+        .agg(F.count(F.lit(1)).alias("n")),
+        "counts",
+    )
     core = counted.where(F.col("edge") == center).select(
         *keys, F.col(value).alias("center_value"), F.col("n").alias("n_center")
     )
     return (
-        null_safe_join(counted.where(F.col("edge") != center), core, keys, "left")
+        tiled_join(counted.where(F.col("edge") != center), core, keys, "left")
         .groupBy(*keys, "edge", (F.col(value) - F.col("center_value")).alias("diff_to_center"))
         .agg(F.sum(F.col("n") * F.coalesce("n_center", F.lit(1))).alias("n_pairs"))
     )

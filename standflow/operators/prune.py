@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import statecode as sc
 from ..functions.hashing import digest, hash_int
-from ..functions.joins import null_safe_join
+from ..functions.joins import null_safe_join, tiled_join
 from ..functions.scans import BLOCK, blocked_row_number, carry, key_names, preceding, unkeyed
 from ..session import materialise, scratch_path
 from .enrich import all_in
@@ -148,33 +148,66 @@ def species_matrix(props: DataFrame, species: Sequence[str], state: str = "state
     return wide.withColumn("row_sum", reduce(lambda a, b: a + b, [F.col(s) for s in species]))
 
 
-def state_similarity(states: DataFrame, state: str = "state") -> DataFrame:
-    """(state_from, state_to, sim) for all pairs with sim > 0; a pair not listed has 0.
+def state_similarity(
+    states: DataFrame, state: str = "state", min_sim: float = 0.0
+) -> DataFrame:
+    """(state_from, state_to, sim) for all pairs, a state with itself included, with sim > 0 and
+    sim >= `min_sim`; a pair not listed has less.
 
     Only states within two height units and less than two leaf-area classes are alike at all, so
-    the pairs come from an equi-join on the cells of that neighbourhood."""
-    s = states.select(
-        F.col(state).alias("s"),
-        sc.species_shares(sc.composition(state)).alias("sh"),
-        sc.lai_class(state).alias("lai"),
-        sc.height_low(state).alias("h"),
-    ).where(F.col("lai").isNotNull() & F.col("h").isNotNull())
+    the pairs come from an equi-join on the cells of that neighbourhood. Above some height, a
+    limit asks for a least overlap of the species shares. Such pairs meet by a prefix filter: the
+    species of a state, in name order, belong to its prefix while they and those after them
+    make up that overlap, so the first species of two alike states is in both prefixes. Crowded
+    cells are dealt into tiles."""
+    s = materialise(
+        states.select(
+            F.col(state).alias("s"),
+            F.array_sort(sc.species_shares(sc.composition(state))).alias("sh"),
+            sc.lai_class(state).alias("lai"),
+            sc.height_low(state).alias("h"),
+        ).where(F.col("lai").isNotNull() & F.col("h").isNotNull()),
+        "states",
+    )
     left = s.select(*[F.col(c).alias(f"{c}_from") for c in s.columns]).withColumn(
         "__lai", F.explode(F.sequence(F.col("lai_from") - 1, F.col("lai_from") + 1))
-    ).withColumn("__h", F.explode(F.sequence(F.col("h_from") - 2, F.col("h_from") + 2)))
-    right = s.select(*[F.col(c).alias(f"{c}_to") for c in s.columns]).withColumns(
-        {"__lai": F.col("lai_to"), "__h": F.col("h_to")}
     )
+    least = sc.least_overlap(min_sim, F.col("lai_from"), F.col("__lai"), F.col("h_from"))
+    left = left.withColumn("__h", F.explode(F.sequence(F.col("h_from") - 2, F.col("h_from") + 2)))
+    left = left.withColumn(
+        "__prefix_from",
+        F.when(least <= 0, F.array(F.lit(""))).otherwise(_prefix(F.col("sh_from"), least)),
+    )
+    # the empty name is for those that ask for no overlap; the others come from heights of two units
+    # less on, where the least overlap is smallest
+    lowest = F.greatest(F.col("h_to") - 2, F.lit(0))
+    smallest = sc.least_overlap(min_sim, F.col("lai_to"), F.col("lai_to"), lowest)
+    right = s.select(*[F.col(c).alias(f"{c}_to") for c in s.columns]).withColumns({
+        "__lai": F.col("lai_to"), "__h": F.col("h_to"),
+        "__prefix_to": F.array_append(_prefix(F.col("sh_to"), smallest), F.lit("")),
+    })
+    left = left.withColumn("__sp", F.explode("__prefix_from"))
+    right = right.withColumn("__sp", F.explode("__prefix_to"))
     sim = sc.similarity(
         sc.share_overlap(F.col("sh_from"), F.col("sh_to")),
         F.col("lai_from"), F.col("lai_to"), F.col("h_from"), F.col("h_to"),
     )
+    first = F.array_intersect("__prefix_from", "__prefix_to")[0]
     return (
-        left.join(right, ["__lai", "__h"])
+        tiled_join(left, right, ["__lai", "__h", "__sp"])
+        .where(F.col("__sp") == first)
         .select(F.col("s_from").alias("state_from"), F.col("s_to").alias("state_to"),
                 sim.alias("sim"))
-        .where(F.col("sim") > 0)
+        .where((F.col("sim") > 0) & (F.col("sim") >= min_sim))
+    )
+
+
+def _prefix(shares: Column, least: Column) -> Column:
+    """Species of sorted shares up to the last one from which on they add up to `least`."""
+    rest = lambda i: F.aggregate(
+        F.slice(shares, i + 1, F.size(shares)), F.lit(0.0), lambda acc, x: acc + x["prop"]
     )
+    return F.filter(shares, lambda x, i: rest(i) >= least - 1e-9)["species"]
 
 
 def transition_distance_filter(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from standflow.functions import geo
+from standflow.functions.joins import tiled_join
 from standflow.functions.scans import blocked_row_number
 from standflow.operators import enrich, grid, niche
 
@@ -29,6 +30,40 @@ def test_nearest_cell_is_exact(spark):
         assert got[(lon, lat)] == want
 
 
+def test_nearest_cell_in_a_deep_pyramid(spark):
+    rng = random.Random(6)
+    cells = sorted({(rng.randrange(3000) // 7 * 3, rng.randrange(900)) for _ in range(120)})
+    at = {i: (0.5 * x, 0.5 * y) for i, (x, y) in enumerate(cells)}
+    g = spark.createDataFrame([(x, y, i) for i, (x, y) in at.items()],
+                              "x double, y double, point_id bigint")
+    pts = [(rng.uniform(-300, 1000), rng.uniform(-200, 600)) for _ in range(120)] + [(None, 1.0)]
+    p = spark.createDataFrame(pts, "lon double, lat double")
+    got = {(r.lon, r.lat): r.point_id for r in enrich.nearest_grid_cell(p, g, 0.5).collect()}
+    for lon, lat in pts:
+        if lon is None:
+            assert got[(lon, lat)] is None
+            continue
+        inside = [i for i, (x, y) in at.items()
+                  if -0.25 <= lon - x < 0.25 and -0.25 <= lat - y < 0.25]
+        assert got[(lon, lat)] == (inside[0] if inside else min(
+            at, key=lambda i: (abs(lon - at[i][0]) + abs(lat - at[i][1]), i)
+        ))
+    none = enrich.nearest_grid_cell(p, g.limit(0), 0.5).collect()
+    assert len(none) == len(pts) and all(r.point_id is None for r in none)
+
+
+def test_tiles_of_a_key_meet_all_left_rows(spark):
+    left = spark.createDataFrame([(k, i) for k in ("a", None, "z") for i in range(7)], "k string, l int")
+    right = spark.createDataFrame([(k, i) for k in ("a", None, "b") for i in range(50)], "k string, r int")
+    want = [(k, i, j) for k in ("a", None) for i in range(7) for j in range(50)]
+    order = lambda rows: sorted(rows, key=str)
+    for tile in (3, 1000):
+        got = tiled_join(left, right, ["k"], tile=tile).collect()
+        assert order(map(tuple, got)) == order(want)
+        got = tiled_join(left, right, ["k"], "left", tile=tile).collect()
+        assert order(map(tuple, got)) == order(want + [("z", i, None) for i in range(7)])
+
+
 def test_row_numbers_across_blocks(spark):
     rows = [(k, v) for k in ("a", None) for v in range(57)]
     df = spark.createDataFrame(rows, "k string, v int").repartition(5)

@@ -56,6 +56,12 @@ def test_sparse_similarity_equals_all_pairs(spark):
     assert len(got) < len(dense)
     for r in dense:
         assert abs(got.get((r.a, r.b), 0.0) - r.sim) < 1e-12
+    for limit in (0.1, 0.5, 0.93, 0.97):
+        rows = pr.state_similarity(states, min_sim=limit).collect()
+        assert {(r.state_from, r.state_to) for r in rows} == {
+            (r.a, r.b) for r in dense if r.sim >= limit
+        }
+        assert len({(r.state_from, r.state_to) for r in rows}) == len(rows)
 
 
 def brute_closed(rows, keep_missing):
