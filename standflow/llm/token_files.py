@@ -13,6 +13,7 @@ A document is read by one seek to its frame. The reader refuses a dictionary of
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -43,12 +44,28 @@ TRAIN_DOCS = 300
 TRAIN_IDS = 4096
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+RANGE_CHARS = 64  # of a text, by which rows of one id are dealt to parts
+
+
+def cuts_bytes(path: str) -> bool:
+    """Whether a tokenizer file cuts plain text as `PRE_TOKEN` does and merges bytes."""
+    with open(path, encoding="utf-8") as f:
+        config = json.load(f)
+    cutter = config.get("pre_tokenizer") or {}
+    return (
+        config.get("normalizer") is None
+        and cutter.get("type") == "ByteLevel"
+        and not cutter.get("add_prefix_space", True)
+        and cutter.get("use_regex", True)
+        and config["model"].get("type") == "BPE"
+    )
 
 
 class LibraryEncoder(PieceEncoder):
     """Ids by the tokenizers library, as `width`-byte integers.
 
-    The library gets many pieces of text in one call; the bytes that each id stands for tell which
+    A tokenizer that cuts or changes text in another way than `cuts_bytes` gets whole texts. Of the
+    others, the library gets many pieces of text in one call; the bytes that each id stands for tell which
     ids belong to which piece. A text that holds a string the tokenizer has an own id for goes to
     the library whole, as that id reaches over pieces."""
 
@@ -58,7 +75,10 @@ class LibraryEncoder(PieceEncoder):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # pieces are plain text
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.by_piece = cuts_bytes(path)
+        self.tokenizer.encode_special_tokens = self.by_piece  # pieces are plain text
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         # byte-level vocabularies write each byte as one character
@@ -68,6 +88,9 @@ class LibraryEncoder(PieceEncoder):
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         texts = pc.fill_null(texts, "")
+        if not self.by_piece:
+            yield from (np.frombuffer(b, self.dtype) for b in self._library(texts.to_pylist()))
+            return
         has_added = np.zeros(len(texts), dtype=bool)
         for token in self.added:
             has_added |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
@@ -177,7 +200,9 @@ def write_token_files(
     text_col: str = "text",
 ) -> None:
     """Write the ids of every whole text, and `end_id` after each, in ascending id order (null ids
-    first; rows of one id by text). Null text: `end_id` alone. An empty table: no parts."""
+    first; rows of one id by text). Null text: `end_id` alone. An empty table: no parts. Parts are
+    ranges of the id and the beginning of the text, so a frequent id fills many parts. Any tokenizer
+    file of the library will do; long texts are compressed whole, one frame each."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     width = id_width(tokenizer_path)
@@ -189,7 +214,7 @@ def write_token_files(
         f.write(dictionary)
     run = _write_part(f"{uri}/parts", tokenizer_path, width, end_id, dictionary)
     (
-        picked.repartitionByRange("id")
+        picked.repartitionByRange("id", F.substring("text", 1, RANGE_CHARS))
         .sortWithinPartitions("id", "text")
         .mapInArrow(run, "part long, file string, docs long, tokens long")
         .write.parquet(f"{folder}/manifest")

@@ -105,6 +105,43 @@ def test_token_files(spark, rows, tmp_path):
         token_files.open_part(folder, names[0].rpartition("/")[2])
 
 
+def test_token_files_of_another_tokenizer(spark, rows, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_files.cuts_bytes(JSON) and not token_files.cuts_bytes(path)
+    tokenizer = Tokenizer.from_file(path)
+    rows = rows[:120]
+    token_files.write_token_files(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/t", path)
+    got = token_files.read_token_digests(spark, f"file://{tmp_path}/t").collect()
+    want = []
+    for i, t, _ in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+
+
+def test_frequent_id_and_long_text_fill_parts(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(JSON)
+    texts = [f"{i * 7919 % 400} words of row {i}" for i in range(400)] + ["long text, " * 110_000]
+    keys = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(len(texts))]
+    df = spark.createDataFrame([(k, t, "x") for k, t in zip(keys, texts)], SCHEMA).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_files.write_token_files(df, f"file://{tmp_path}/t", JSON)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    start, want = 0, []
+    for k, t in sorted(zip(keys, texts), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = token_files.read_token_digests(spark, f"file://{tmp_path}/t").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    parts = {}
+    for f in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(f"{tmp_path}/t/parts")):
+        part = token_files.open_part(f"file://{tmp_path}/t", f.path.rpartition("/")[2])
+        for k in {part.id(i) for i in range(len(part))}:
+            parts[k] = parts.get(k, 0) + 1
+    assert parts[None] > 1 and parts[7] > 1
+
+
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     assert bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).collect() == []
