@@ -141,3 +141,20 @@ def test_prediction_features_with_null_soil(spark):
                                "point_id int, soil double, year int, MAT double")
     r = assembly.prepare_prediction_input(df, keys=("point_id", "soil"), span=4, features=["MAT"]).first()
     assert tuple(r) == (1, None, 1.0, 2.0, 3.0, None)
+
+
+def test_rows_are_dealt_before_small_groups_are_counted(spark):
+    """A task holds the groups of one shuffle partition, not those of all rows of its input split."""
+    rows = [("s", "rcp_8_5", 1, "A_1_0_2", "x", t, v, "A_2_0_2", "A_1_0_2")
+            for t, v in (("1981-1990", 1.0), ("2071-2080", 3.0), ("2071-2080", 5.0))]
+    df = spark.createDataFrame(rows, "species string, rcp string, point_id long, init_state string, "
+                               "scen string, timestep string, growth double, pred_state_1 string, state string")
+    means = ind.baseline_future_means(df, "growth")
+    timed = df.drop("init_state").selectExpr(
+        "*", *[f"1D AS time_{w}_{k}" for w in ("index", "proba") for k in (1, 2, 3)]
+    )
+    for out in (means, change.csi_from_predictions(timed)):
+        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+        assert "Aggregate" not in plan.split("REPARTITION_BY_COL", 1)[1]
+    assert [(r["var_base"], r["var_fut"]) for r in means.collect()] == [(1.0, 4.0)]
+    assert means.columns == ["species", "rcp", "point_id", "init_state", "scen", "var_base", "var_fut"]
