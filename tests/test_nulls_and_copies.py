@@ -4,7 +4,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from contract.bindings import load_linear_model
+from contract.bindings import dense_days, load_linear_model
+from contract.sample_queries import r6
 from standflow.functions.model_apply import dense
 from standflow.operators import examples as ex
 from standflow.operators import grid as gr
@@ -132,3 +133,49 @@ def test_samples_from_daily_arrays(spark):
     rows = wide.collect()
     assert [(r["exampleID"], r["gridID"], r["Year"]) for r in rows] == [("s:1:1:2000", 5, 2000)]
     assert [rows[0][f"tas_month7_{s}"] for s in range(1, 11)] == [float(y) for y in range(10)]
+
+
+def test_days_go_to_their_places(spark):
+    """Gaps and nulls are 0, days 366 and null drop, a key without a kept day stays; no day is
+    searched for."""
+    rows = [(1, 365, 4.0), (1, 2, 3.0), (1, 366, 9.0), (1, 5, None), (2, 366, 1.0), (None, 1, 7.0),
+            (3, None, 8.0)]
+    days = spark.createDataFrame(rows, "id long, doy int, tas double").selectExpr(
+        "*", "tas + 1 AS prec", "tas + 2 AS rad", "tas + 3 AS vpd"
+    )
+    out = dense_days(days, ["id"], "doy")
+    got = {r["id"]: r for r in out.collect()}
+    want = {1: {1: 3.0, 364: 4.0}, 2: {}, 3: {}, None: {0: 7.0}}
+    assert got.keys() == want.keys()
+    for k, seen in want.items():
+        for j, v in enumerate(sm.VARIABLES):
+            assert got[k][v] == [seen[i] + j if i in seen else 0.0 for i in range(365)]
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert "element_at" not in plan and "MapInArrow" in plan
+
+
+def test_climate_features_take_one_pass(spark):
+    """The same as the single steps, without lambdas over the days in the plan."""
+    days = [f"transform(sequence(1, 365), d -> IF(d = 40 * id, {'1D' if v == 'tas' else '2D'}, cos(id + d * {k + 1}))) AS {v}"
+            for k, v in enumerate(sm.VARIABLES)]
+    df = spark.range(1, 4).selectExpr("id", *days).localCheckpoint()
+    means = sm.monthly_climate_means(sm.annual_climate_means(df))
+    ready = sm.constant_site(sm.climate_cube(means)).drop(*sm.VARIABLES, *sm.SITE)
+    steps = sm.compress_climate(ready, load_linear_model, "float64")
+    out = sm.climate_features(df, load_linear_model, "float64")
+    assert out.columns == steps.columns
+    want = {r["id"]: list(r) for r in steps.collect()}
+    assert {r["id"]: pytest.approx(list(r), abs=1e-9) for r in out.collect()} == want
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert "lambda" not in plan
+
+
+def test_rounding_by_whole_numbers(spark):
+    values = [0.1234565, -0.1234565, -1e-7, 2.5e-7, 1e9, -3e12 - 1 / 3, 123456789.1234567, 0.0, None,
+              float("nan"), float("inf"), float("-inf"), 1e300]
+    df = spark.createDataFrame([(v,) for v in values], "v double").localCheckpoint()
+    out = r6(df.select("v", F.round(F.col("v") + 1e-9, 6).alias("want")), "v")
+    assert {repr(r["v"]) for r in out.collect()} == {repr(r["want"]) for r in out.collect()}
+    assert all(repr(r["v"]) == repr(r["want"]) for r in out.collect())
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    assert "rint" in plan
