@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 MAX_STATES = 200_000  # some 100 MB with their moves
 MAX_KNOWN = 200_000  # pre-tokens of up to MAX_KEPT characters, twice some 40 MB
+MAX_PIECES = 300_000  # between spaces, likewise
 MAX_KEPT = 256
 MAX_PAIRS = 200_000
 START = ROOT = 0
@@ -191,16 +192,28 @@ def split_at_spaces(text: str) -> tuple[str, list[str]]:
     return first, [p[1:] for p in rest]
 
 
+def _strings(values: pa.Array) -> list[str]:
+    """As `to_pylist`, by one split instead of a call per value."""
+    lists = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    out = pc.binary_join(lists, "\0")[0].as_py().split("\0")
+    # a value may hold the separator; no values are joined to one empty text
+    return out if len(values) and len(out) == len(values) else values.to_pylist()
+
+
 class PieceEncoder:
     """Texts to arrays of ids, each different piece and pre-token once.
 
     `learn(pre_tokens)` gives the ids of each, as bytes of `dtype`. Of two generations of known
-    pre-tokens the older one is forgotten when the younger is full; what is met again is young."""
+    pre-tokens the older one is forgotten when the younger is full; what is met again is young.
+    So it is with known pieces, which are looked up first and are cut into pre-tokens only if new."""
 
     def __init__(self, pattern: str, dtype: str):
         self.find, self.dtype = regex.compile(pattern).findall, np.dtype(dtype)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        # without the space before them
+        self.known_pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def learn(self, pre_tokens: list[str]) -> Iterable[bytes]:
         raise NotImplementedError
@@ -222,7 +235,24 @@ class PieceEncoder:
         return ids
 
     def _after_space(self, pieces: list[str]) -> list[bytes]:
-        """Ids of the pieces, each with the space before it."""
+        """Ids of the pieces, all different, each with the space before it."""
+        ids = [*map(self.known_pieces.get, pieces)]
+        lacking = [at for at, x in enumerate(ids) if x is None]
+        older = self.older_pieces
+        for at in lacking:
+            ids[at] = older.get(pieces[at])
+        new = [at for at in lacking if ids[at] is None]
+        for at, x in zip(new, self._new_pieces([pieces[at] for at in new])):
+            ids[at] = x
+        if len(self.known_pieces) + len(lacking) > MAX_PIECES:
+            self.known_pieces, self.older_pieces = {}, self.known_pieces
+            lacking = range(len(pieces))
+        self.known_pieces.update(
+            (pieces[at], ids[at]) for at in lacking if len(pieces[at]) <= MAX_KEPT
+        )
+        return ids
+
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
         parts, find = [], self.find
         for p in pieces:
             if p.isalpha():  # the two common cases need no pattern
@@ -240,7 +270,7 @@ class PieceEncoder:
         split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if odd.any() else texts, " ")
         begins, pieces = split.offsets.to_numpy(), split.flatten()
         coded = pieces.dictionary_encode()
-        ids = self._after_space(coded.dictionary.to_pylist())
+        ids = self._after_space(_strings(coded.dictionary))
         size = np.array([*map(len, ids)], dtype=np.int32) // self.dtype.itemsize
         at = np.cumsum(size, dtype=np.int32) - size
         flat = np.frombuffer(b"".join(ids), dtype=self.dtype)

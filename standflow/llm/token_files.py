@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +66,8 @@ class LibraryEncoder(PieceEncoder):
     """Ids by the tokenizers library, as `width`-byte integers.
 
     A tokenizer that cuts or changes text in another way than `cuts_bytes` gets whole texts. Of the
-    others, the library gets many pieces of text in one call; the bytes that each id stands for tell which
-    ids belong to which piece. A text that holds a string the tokenizer has an own id for goes to
+    others, the library gets many new pieces of text in one call, one after the other as in a text; the
+    bytes that each id stands for tell which ids belong to which piece. A text that holds a string the tokenizer has an own id for goes to
     the library whole, as that id reaches over pieces."""
 
     def __init__(self, path: str, width: int):
@@ -97,8 +98,10 @@ class LibraryEncoder(PieceEncoder):
         for i, ids in enumerate(super().encode(texts)):
             if has_added[i]:
                 self.tokenizer.encode_special_tokens = False
-                encoded = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False)
-                self.tokenizer.encode_special_tokens = True
+                try:
+                    encoded = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False)
+                finally:
+                    self.tokenizer.encode_special_tokens = True
                 ids = np.array(encoded.ids, self.dtype)
             yield ids
 
@@ -107,11 +110,14 @@ class LibraryEncoder(PieceEncoder):
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
     def learn(self, pre_tokens: list[str]) -> list[bytes]:
-        # a space and letters can stand in a row with others of the kind
-        in_row = [p[0] == " " and p[1:].isalpha() for p in pre_tokens]
-        words = [p for p, r in zip(pre_tokens, in_row) if r]
+        return self._library(pre_tokens)
+
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+        # pieces, each with its space, stand in a row as in a text, if none ends with white space
+        in_row = [p != "" and not p[-1].isspace() for p in pieces]
+        words = [" " + p for p, r in zip(pieces, in_row) if r]
         rows = (b for at in range(0, len(words), 20_000) for b in self._row(words[at : at + 20_000]))
-        others = iter(self._library([p for p, r in zip(pre_tokens, in_row) if not r]))
+        others = iter(self._library([" " + p for p, r in zip(pieces, in_row) if not r]))
         return [next(rows) if r else next(others) for r in in_row]
 
     def _row(self, texts: list[str]) -> Iterator[bytes]:
@@ -126,6 +132,18 @@ class LibraryEncoder(PieceEncoder):
         yield from (data[i:j] for i, j in zip([0, *stops], stops))
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, width: int, stamp: tuple[int, int]) -> LibraryEncoder:
+    return LibraryEncoder(path, width)
+
+
+def task_encoder(path: str, width: int) -> LibraryEncoder:
+    """The encoder of this Python worker: its next tasks find it loaded, with the pieces it knows.
+    Another file under the path is loaded anew."""
+    file = os.stat(path)
+    return _encoder(path, width, (file.st_mtime_ns, file.st_size))
+
+
 def id_width(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -157,7 +175,7 @@ def _write_part(uri: str, tokenizer_path: str, width: int, end_id: int, dictiona
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder = LibraryEncoder(tokenizer_path, width)
+        encoder = task_encoder(tokenizer_path, width)
         end = np.array([end_id], f"<u{width}").tobytes()
         shared = zstandard.ZstdCompressionDict(dictionary)
         compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared).compress

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import tiktoken
@@ -142,6 +143,26 @@ def test_frequent_id_and_long_text_fill_parts(spark, tmp_path):
     assert parts[None] > 1 and parts[7] > 1
 
 
+def test_pieces_are_cut_once_and_encoders_stay(monkeypatch):
+    tokenizer = Tokenizer.from_file(JSON)
+    encoder = token_files.task_encoder(JSON, 4)
+    assert token_files.task_encoder(JSON, 4) is encoder  # the next task's
+    r = random.Random(7)
+    words = ["".join(r.choices("etaoinéß'.,\n-09\0\x1c", k=r.randint(1, 6))) for _ in range(300)]
+    texts = ["x " + " ".join(r.choices(words, k=40)) for _ in range(30)] + [t for t in ODD if t]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in encoder.encode(pa.array(texts))] == want
+    asked = []
+    library = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda t: asked.extend(t) or library(t))
+    assert [i.tolist() for i in encoder.encode(pa.array(texts[:30]))] == want[:30]
+    assert not "".join(asked).strip()  # all known, whether or not a piece is one pre-token
+    monkeypatch.setattr(bpe, "MAX_PIECES", 50)  # two generations
+    for _ in range(2):
+        assert [i.tolist() for i in encoder.encode(pa.array(texts))] == want
+    assert len(encoder.known_pieces) <= len(set(" ".join(texts).split(" ")))
+
+
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     assert bpe.round_trip(df, RANKS, public_tokenizers.PATTERN).collect() == []
