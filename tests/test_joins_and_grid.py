@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from standflow.functions import geo
+from standflow.functions import geo, joins
 from standflow.functions.joins import tiled_join
 from standflow.functions.scans import blocked_row_number
 from standflow.operators import enrich, grid, niche
@@ -152,3 +152,20 @@ def test_loss_share_nulls_are_no_loss(spark):
     df = spark.createDataFrame([("r", -7.0), ("r", -5.0), ("r", -4.9), ("r", None)], "rcp string, mean_shift double")
     got = {r.loss: (r["count"], r["all"], r.pct) for r in grid.loss_share(df).collect()}
     assert got == {1: (2, 4, 50.0), 0: (2, 4, 50.0)}
+
+
+def test_rows_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = spark.range(3000).selectExpr("nullif(id % 400, 7) AS k", "id % 3 AS g", "id AS v", "1 AS x")
+    monkeypatch.setattr(joins, "DEALT_ROWS", 30)
+    out = joins.dealt(df, ["k", "g"], ["v"])
+    assert out.columns == ["k", "g", "v"]
+    parts = [[tuple(r) for r in p] for p in out.rdd.glom().collect()]
+    assert len(parts) == 100 > few
+    assert sorted(r[2] for p in parts for r in p) == list(range(3000))
+    where = {}
+    for i, p in enumerate(parts):
+        for k, g, _ in p:
+            assert where.setdefault((k, g), i) == i
+    monkeypatch.undo()
+    assert joins.dealt(df, ["k"], ["v"]).rdd.getNumPartitions() <= few  # as the session has it
