@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from standflow.session import materialise
 
 from .bpe import small_batches
-from .token_files import LibraryEncoder
+from .token_files import task_encoder
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -232,7 +232,7 @@ def pack_documents(
         end = np.array([end_id], "<u4").tobytes()
         writer = _Writer(TaskContext.get().partitionId() << 32, tiers, step_tokens)
         for batch in small_batches(batches):
-            encoder = encoder or LibraryEncoder(tokenizer_path, 4)
+            encoder = encoder or task_encoder(tokenizer_path, 4)
             for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                 writer.add(i, ids.tobytes() + end)
                 if writer.tokens >= block_tokens:
